@@ -2,17 +2,32 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from .bpe import encode_documents
 from .common import documents
+from .mixing import mix_sizes
 from .sharding import uniform_shards
 
 
+def op3_pareto_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sizes(documents(spark, sf_dir))
+
+
+def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    encoded = encode_documents(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return encoded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op8_hypergeometric_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return uniform_shards(documents(spark, sf_dir))
 
 
 QUERIES = {
+    "op3_pareto_mixing": op3_pareto_mixing,
+    "op5_byte_bpe": op5_byte_bpe,
     "op8_hypergeometric_shards": op8_hypergeometric_shards,
 }
 
