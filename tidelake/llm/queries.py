@@ -8,8 +8,11 @@ from pyspark.sql import functions as F
 
 from .bpe import encode_documents
 from .common import documents
+from .merkle import fingerprint_documents
 from .mixing import mix_sizes
+from .secrets import scan
 from .sharding import uniform_shards
+from .simhash import near_duplicates
 
 
 def op3_pareto_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,14 +24,31 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op6_merkle_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prints = fingerprint_documents(documents(spark, sf_dir))
+    return prints.select("doc_id", "n_chars", F.sha2("edited_text", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+
+
+def op7_owned_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = scan(documents(spark, sf_dir))
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base", 256).alias("base_sha256"), "spans", "n_live", "n_copied")
+
+
 def op8_hypergeometric_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return uniform_shards(documents(spark, sf_dir))
 
 
+def op9_simhash_bktree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(documents(spark, sf_dir))
+
+
 QUERIES = {
     "op3_pareto_mixing": op3_pareto_mixing,
     "op5_byte_bpe": op5_byte_bpe,
+    "op6_merkle_fingerprints": op6_merkle_fingerprints,
+    "op7_owned_secrets": op7_owned_secrets,
     "op8_hypergeometric_shards": op8_hypergeometric_shards,
+    "op9_simhash_bktree": op9_simhash_bktree,
 }
 
 #: DuckDB SQL for those queries that SQL can express.
