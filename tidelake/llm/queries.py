@@ -8,17 +8,27 @@ from pyspark.sql import functions as F
 
 from .bpe import encode_documents
 from .common import documents
+from .langid import train_and_identify
 from .merkle import fingerprint_documents
 from .mixing import mix_sizes
+from .quality import score_quality
 from .secrets import scan
 from .sharding import uniform_shards
 from .simhash import near_duplicates
 
 
+def op1_bloom_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return train_and_identify(documents(spark, sf_dir))
+
+
 def op3_pareto_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sizes(documents(spark, sf_dir))
 
 
+def op4_quadratic_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_quality(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     encoded = encode_documents(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
     return encoded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
@@ -43,7 +53,9 @@ def op9_simhash_bktree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_bloom_langid": op1_bloom_langid,
     "op3_pareto_mixing": op3_pareto_mixing,
+    "op4_quadratic_quality": op4_quadratic_quality,
     "op5_byte_bpe": op5_byte_bpe,
     "op6_merkle_fingerprints": op6_merkle_fingerprints,
     "op7_owned_secrets": op7_owned_secrets,
