@@ -15,12 +15,17 @@ from .quality import score_quality
 from .secrets import scan
 from .sharding import uniform_shards
 from .simhash import near_duplicates
+from .toxicity import train_and_score
 
 
 def op1_bloom_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return train_and_identify(documents(spark, sf_dir))
 
 
+def op2_gru_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return train_and_score(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op3_pareto_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sizes(documents(spark, sf_dir))
 
@@ -54,6 +59,7 @@ def op9_simhash_bktree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_bloom_langid": op1_bloom_langid,
+    "op2_gru_toxicity": op2_gru_toxicity,
     "op3_pareto_mixing": op3_pareto_mixing,
     "op4_quadratic_quality": op4_quadratic_quality,
     "op5_byte_bpe": op5_byte_bpe,

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from .common import held_out, lean
 
 #: Words of a window, words from one window to the next, characters of a word; longer ones are read as several.
-WINDOW, STRIDE, LETTERS = 32, 16, 24
+WINDOW, STRIDE, LETTERS = 32, 16, 16
 #: Sizes: embeddings of characters and words, and hidden states over each, one direction.
 CHAR_DIM, WORD_DIM, CHAR_HIDDEN, WORD_HIDDEN = 8, 8, 8, 12
 #: Training takes about so many documents of either label, of at most so many characters, and so many words.
@@ -45,6 +45,32 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 0.5 * np.tanh(0.5 * x) + 0.5
 
 
+def _gate(x: np.ndarray) -> np.ndarray:
+    """A sigmoid of straight lines, much cheaper than a smooth one."""
+    x = x * np.float32(0.25)
+    x += np.float32(0.5)
+    return np.clip(x, 0, 1, out=x)
+
+
+def _gate_slope(y: np.ndarray) -> np.ndarray:
+    return np.float32(0.25) * ((y > 0) & (y < 1))
+
+
+def _outer(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Sum over all but the last axis of outer products."""
+    return a.reshape(-1, a.shape[-1]).T @ b.reshape(-1, b.shape[-1])
+
+
+def _scatter(index: np.ndarray, rows: np.ndarray, size: int) -> np.ndarray:
+    """Sums of ``rows`` by ``index``."""
+    order = np.argsort(index, kind="stable")
+    index, rows = index[order], rows[order]
+    first = np.flatnonzero(np.concatenate([[True], index[1:] != index[:-1]]))
+    out = np.zeros((size, rows.shape[-1]), np.float32)
+    out[index[first]] = np.add.reduceat(rows, first)
+    return out
+
+
 class BiGRU:
     """A GRU each way and attention pooling, with its gradients. Parameters are in ``p`` under ``name``."""
 
@@ -71,14 +97,17 @@ class BiGRU:
         out, kept = np.empty((*gates.shape[:2], H), np.float32), []
         for t in steps:
             a = h @ u
-            zr = _sigmoid(gates[t, :, : 2 * H] + a[:, : 2 * H])
+            zr = _gate(gates[t, :, : 2 * H] + a[:, : 2 * H])
             z, r = zr[:, :H], zr[:, H:]
-            c = np.tanh(gates[t, :, 2 * H :] + r * a[:, 2 * H :])
-            new = c + z * (h - c)
+            c = r * a[:, 2 * H :]
+            c += gates[t, :, 2 * H :]
+            np.tanh(c, out=c)
             if keep:
                 kept.append((t, h, z, r, c, a[:, 2 * H :]))
-            h = h + mask[t] * (new - h)
-            out[t] = h
+            new = c - h  # the step is (1 - z) (c - h), and none where nothing is read
+            new *= mask[t] - mask[t] * z
+            new += h
+            out[t] = h = new
         return out, kept
 
     def forward(self, gates: np.ndarray, mask: np.ndarray, keep: bool = False):
@@ -104,7 +133,7 @@ class BiGRU:
         ds = weight * (dw - (weight * dw).sum(axis=0))
         grads[f"{n}v"] += np.einsum("tn,tnh->h", ds, e)
         de = ds[..., None] * p[f"{n}v"] * (1 - e * e)
-        grads[f"{n}A"] += np.einsum("tnh,tnk->hk", h, de)
+        grads[f"{n}A"] += _outer(h, de)
         grads[f"{n}a"] += de.sum(axis=(0, 1))
         dh += de @ p[f"{n}A"].T
         dx = np.zeros_like(x)
@@ -114,13 +143,13 @@ class BiGRU:
             for t, before, z, r, c, a in reversed(kept):
                 total = dh[t, :, part] + carry
                 own = total * mask[t]
-                dz, dc = own * (before - c) * z * (1 - z), own * (1 - z) * (1 - c * c)
-                dr = dc * a * r * (1 - r)
+                dz, dc = own * (before - c) * _gate_slope(z), own * (1 - z) * (1 - c * c)
+                dr = dc * a * _gate_slope(r)
                 da = np.concatenate([dz, dr, dc * r], axis=-1)
                 d_gates[t] = np.concatenate([dz, dr, dc], axis=-1)
                 grads[f"{n}U{way}"] += before.T @ da
                 carry = own * z + total * (1 - mask[t]) + da @ u.T
-            grads[f"{n}W{way}"] += np.einsum("tni,tng->ig", x, d_gates)
+            grads[f"{n}W{way}"] += _outer(x, d_gates)
             grads[f"{n}c{way}"] += d_gates.sum(axis=(0, 1))
             dx += d_gates @ p[f"{n}W{way}"].T
         return dx
@@ -145,13 +174,11 @@ class Network:
     @staticmethod
     def spell(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Characters of words, time x words, and their mask."""
-        long = max(map(len, words))
-        codes = np.zeros((len(words), long), np.int64)
-        mask = np.zeros((len(words), long), np.float32)
-        for i, w in enumerate(words):
-            codes[i, : len(w)] = [ord(c) % ALPHABET for c in w]
-            mask[i, : len(w)] = 1
-        return codes.T, mask.T
+        lengths = np.fromiter(map(len, words), np.int64, len(words))
+        filled = np.arange(lengths.max()) < lengths[:, None]
+        codes = np.zeros(filled.shape, np.int64)
+        codes[filled] = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32) % ALPHABET
+        return np.ascontiguousarray(codes.T), np.ascontiguousarray(filled.T, np.float32)
 
     def inputs(self, words: list[str]) -> np.ndarray:
         """Projected inputs of words to the upper level."""
@@ -169,8 +196,8 @@ class Network:
         pooled, _ = self.words.forward(gates, mask)
         return pooled @ self.p["o"] + self.p["ob"]
 
-    def gradients(self, windows: list[list[str]], target: np.ndarray, weight: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
-        """Loss of a batch and the gradients of all parameters."""
+    def gradients(self, windows: list[list[str]], target: np.ndarray, weight: np.ndarray, unknown: np.ndarray | None = None) -> tuple[float, dict[str, np.ndarray]]:
+        """Loss of a batch and the gradients of all parameters. ``unknown``: random numbers; words with one under a half are read by characters alone."""
         p = self.p
         grads = {k: np.zeros_like(v) for k, v in p.items()}
         distinct = {w: i for i, w in enumerate(dict.fromkeys(w for x in windows for w in x))}
@@ -178,6 +205,8 @@ class Network:
         c_in = p["C"][codes]
         c_out, c_saved = self.chars.forward(self.chars.project(c_in), char_mask, keep=True)
         ids = np.array([self.index.get(w, 0) for w in distinct])
+        if unknown is not None:
+            ids[unknown[: len(ids)] < 0.5] = 0
         table = np.concatenate([p["E"][ids], c_out], axis=-1)
         at = np.zeros((max(map(len, windows)), len(windows)), np.int64)
         mask = np.zeros(at.shape, np.float32)
@@ -193,12 +222,11 @@ class Network:
         grads["o"] += pooled.T @ dz
         grads["ob"] += dz.sum()
         dx = self.words.backward(x, saved, dz[:, None] * p["o"], grads) * mask[..., None]
-        d_table = np.zeros_like(table)
-        np.add.at(d_table, at.ravel(), dx.reshape(-1, dx.shape[-1]))
-        np.add.at(grads["E"], ids, d_table[:, :WORD_DIM])
+        d_table = _scatter(at.ravel(), dx.reshape(-1, dx.shape[-1]), len(table))
+        grads["E"] += _scatter(ids, d_table[:, :WORD_DIM], len(p["E"]))
         grads["E"][0] = 0
         dc = self.chars.backward(c_in, c_saved, d_table[:, WORD_DIM:], grads)
-        np.add.at(grads["C"], codes.ravel(), dc.reshape(-1, CHAR_DIM))
+        grads["C"] += _scatter(codes.ravel(), dc.reshape(-1, CHAR_DIM), ALPHABET)
         return loss, grads
 
     def calibrated(self, logit: np.ndarray) -> np.ndarray:
@@ -209,6 +237,19 @@ def windows_of(words: list[str]) -> list[list[str]]:
     return [words[i : i + WINDOW] for i in range(0, max(1, len(words) - WINDOW + STRIDE), STRIDE)] if words else []
 
 
+class _Places(dict):
+    """Numbers words from 1 on as they come, and lists those that are new."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.new: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        self.new.append(word)
+        self[word] = at = len(self) + 1
+        return at
+
+
 class Scorer:
     """Scores texts by a network, keeping the inputs of words for a while."""
 
@@ -217,22 +258,23 @@ class Scorer:
         self.reset()
 
     def reset(self) -> None:
-        self.at: dict[str, int] = {}
-        self.table = np.zeros((1, 6 * WORD_HIDDEN), np.float32)  # row 0: nothing
+        self.at = _Places()
+        self.table = np.zeros((4096, 6 * WORD_HIDDEN), np.float32)  # row 0: nothing
 
     def logits(self, texts: list[list[str]]) -> np.ndarray:
         """The highest window of each text; -inf without words."""
-        new = list(dict.fromkeys(w for x in texts for w in x if w not in self.at))
-        if len(self.at) + len(new) > KEEP_WORDS and self.at:
+        if len(self.at) > KEEP_WORDS:
             self.reset()
-            new = list(dict.fromkeys(w for x in texts for w in x))
-        if new:
-            self.at.update(zip(new, range(len(self.table), len(self.table) + len(new)), strict=True))
-            self.table = np.concatenate([self.table, self.network.inputs(new)])
+        start = len(self.at) + 1
+        places = [np.array(list(map(self.at.__getitem__, x)), np.int32) for x in texts]
+        if new := self.at.new:
+            if start + len(new) > len(self.table):
+                self.table = np.concatenate([self.table[:start], np.zeros((len(new) + len(self.table), self.table.shape[1]), np.float32)])
+            self.table[start : start + len(new)] = self.network.inputs(new)
+            new.clear()
         rows, owner = [], []
-        for i, x in enumerate(texts):
-            if x:
-                ids = np.fromiter(map(self.at.__getitem__, x), np.int32, len(x))
+        for i, ids in enumerate(places):
+            if len(ids):
                 n = max(1, -(-(len(ids) - WINDOW) // STRIDE) + 1)
                 padded = np.zeros((n - 1) * STRIDE + WINDOW, np.int32)
                 padded[: len(ids)] = ids
@@ -258,6 +300,10 @@ class Scorer:
         return np.where(np.isneginf(logits), 0.0, self.network.calibrated(np.where(np.isneginf(logits), 0, logits)))
 
 
+def _stems(word: str) -> list[str]:
+    return [word + "$", *[word[:k] for k in range(3, min(8, len(word)) + 1)]]
+
+
 def train(texts: list[str], toxic: list[int], epochs: int = EPOCHS, seed: int = 3) -> Network | None:
     """A network from labelled texts; None unless both labels are there. The same input gives the same network."""
     docs = [(words_of(t), y) for t, y in zip(texts, toxic, strict=True)]
@@ -266,27 +312,30 @@ def train(texts: list[str], toxic: list[int], epochs: int = EPOCHS, seed: int =
     if not docs or y.min() == y.max():
         return None
     rng = np.random.default_rng(seed)
-    having = [Counter(), Counter()]
+    # Words and their beginnings, as other endings of a word tell as much.
+    having, stems = [Counter(), Counter()], [Counter(), Counter()]
     for w, label in docs:
         having[label].update(set(w))
+        stems[label].update({x for word in set(w) for x in _stems(word)})
     n = [int((y == c).sum()) for c in (0, 1)]
-    odds = {w: np.log((k + 0.5) / (n[1] + 1)) - np.log((having[0][w] + 0.5) / (n[0] + 1)) for w, k in having[1].items() if k >= 3}
+    odds = {w: max(0.0, np.log((k + 0.5) / (n[1] + 1)) - np.log((stems[0][w] + 0.5) / (n[0] + 1))) for w, k in stems[1].items() if k >= 3}
+    hint = {w: max(odds.get(x, 0.0) for x in _stems(w)) for w in having[0] | having[1]}
     both = having[0] + having[1]
     vocabulary = [w for w, k in sorted(both.items(), key=lambda x: (-x[1], x[0])) if k >= 3][:VOCABULARY]
     network = Network(vocabulary, seed)
     parts = [windows_of(w) for w, _ in docs]
-    worst = [max(range(len(p)), key=lambda i, p=p: sum(max(0.0, odds.get(w, 0.0)) for w in set(p[i]))) for p in parts]
+    worst = [max(range(len(p)), key=lambda i, p=p: sum(hint[w] ** 2 for w in set(p[i]))) for p in parts]
     moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in network.p.items()}
     step, weight = 0, np.where(y == 1, len(y) / (2 * n[1]), len(y) / (2 * n[0]))
-    least = max(epochs * len(docs) // BATCH, 240)  # small samples are gone through more often
+    least = max(epochs * len(docs) // BATCH, 200)  # small samples are gone through more often
     rounds = -(-least * BATCH // len(docs))
     for epoch in range(rounds):
-        if epoch and epoch % max(1, rounds // 4) == 0:
+        if epoch and epoch % -(-rounds // 3) == 0:
             worst = [int(np.argmax(x)) for x in _window_logits(network, parts)]
         for some in np.array_split(rng.permutation(len(docs)), max(1, len(docs) // BATCH)):
             # Clean documents show their worst window half of the time, and any other one else.
             picked = [parts[i][worst[i] if y[i] or rng.random() < 0.5 else rng.integers(len(parts[i]))] for i in some]
-            _, grads = network.gradients(picked, y[some].astype(np.float32), weight[some].astype(np.float32))
+            _, grads = network.gradients(picked, y[some].astype(np.float32), weight[some].astype(np.float32), rng.random(BATCH * 2 * WINDOW))
             step += 1
             norm = np.sqrt(sum(float((g * g).sum()) for g in grads.values()))
             for k, g in grads.items():
@@ -369,7 +418,7 @@ def score_toxicity(docs: DataFrame, network: Network | None, threshold: float =
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores), pa.array((scores >= threshold).astype(np.int32))], names=[id_col, "score", "predicted"])
 
     slim = lean(docs, id_col, text_col)
-    return slim.mapInArrow(run, slim.select(id_col).schema.add("score", "double").add("predicted", "int"))
+    return slim.mapInArrow(run, slim.select(id_col).schema.add("score", "double").add("predicted", "integer"))
 
 
 def drop_toxic(docs: DataFrame, network: Network | None, threshold: float = 0.7, text_col: str = "text") -> DataFrame:
