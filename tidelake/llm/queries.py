@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .ann import nearest
 from .bpe import encode_documents
 from .common import documents
 from .langid import train_and_identify
@@ -57,6 +58,10 @@ def op9_simhash_bktree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir))
 
 
+def op10_projection_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 50 == 0)
+
+
 QUERIES = {
     "op1_bloom_langid": op1_bloom_langid,
     "op2_gru_toxicity": op2_gru_toxicity,
@@ -67,6 +72,7 @@ QUERIES = {
     "op7_owned_secrets": op7_owned_secrets,
     "op8_hypergeometric_shards": op8_hypergeometric_shards,
     "op9_simhash_bktree": op9_simhash_bktree,
+    "op10_projection_forest": op10_projection_forest,
 }
 
 #: DuckDB SQL for those queries that SQL can express.
