@@ -159,7 +159,7 @@ def redact(docs: DataFrame, id_col: str = "doc_id", owner_col: str = "source", t
             texts, judged = batch.column(at).to_pylist(), batch.column(batch.num_columns - 1).to_pylist()
             masked = [_mask(t, j) if t and j else t for t, j in zip(texts, judged, strict=True)]
             columns = [pa.array(masked, pa.string()) if i == at else batch.column(i) for i in range(batch.num_columns - 1)]
-            yield pa.RecordBatch.from_arrays(columns, names=docs.columns)
+            yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    at = docs.columns.index(text_col)
+    at, names = docs.columns.index(text_col), docs.columns
     return lean(joined, *[f"`{c}`" for c in docs.columns], "_judged").mapInArrow(run, docs.schema)
