@@ -74,20 +74,20 @@ CANDIDATES = "array<struct<start:int,kind:int,stop:int,hash:string,random:boolea
 
 
 def candidates(docs: DataFrame, id_col: str, owner_col: str, text_col: str) -> DataFrame:
-    """``row, id_col, owner, found`` for each row; ``found`` has the candidates in order. Hashes only, no values."""
+    """``row, id_col, owner, print, found`` for each row; ``print`` is a hash of its text and ``found`` has the candidates in order. Hashes only, no values."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fields = pa.list_(pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("stop", pa.int32()), ("hash", pa.string()), ("random", pa.bool_())]))
         for batch in batches:
             found = []
-            for text in batch.column(2).to_pylist():
+            for text in batch.column(3).to_pylist():
                 base = base_spans(text or "")
                 spans = sorted(base + other_candidates(text or "", base))
                 found.append([{"start": a, "kind": k, "stop": b, "hash": _name(v), "random": looks_random(v)} for a, k, b, v in spans])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1).cast(pa.string()), pa.array(found, fields)], names=[id_col, "owner", "found"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(found, fields)], names=[id_col, "owner", "print", "found"])
 
-    slim = lean(docs.select(F.col(id_col), F.col(owner_col).cast("string").alias("owner"), F.col(text_col).alias("text")), id_col, "owner", "text")
-    return materialise(slim.mapInArrow(run, f"`{id_col}` {dict(slim.dtypes)[id_col]}, owner string, found {CANDIDATES}")).withColumn("row", F.monotonically_increasing_id())
+    slim = lean(docs.select(F.col(id_col), F.col(owner_col).cast("string").alias("owner"), F.xxhash64(text_col).alias("print"), F.col(text_col).alias("text")), id_col, "owner", "print", "text")
+    return materialise(slim.mapInArrow(run, f"`{id_col}` {dict(slim.dtypes)[id_col]}, owner string, print long, found {CANDIDATES}")).withColumn("row", F.monotonically_increasing_id())
 
 
 def ownership(found: DataFrame) -> DataFrame:
@@ -109,7 +109,7 @@ def _joined(spans: Column) -> Column:
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", owner_col: str = "source", text_col: str = "text") -> DataFrame:
-    """Secrets of each row: ``id_col, n_assign, n_access, n_hex, base, spans, n_live, n_copied, judged``.
+    """Secrets of each row: ``id_col, n_assign, n_access, n_hex, base, spans, n_live, n_copied, judged, print``.
 
     ``base`` and ``spans`` name kind:start:end in code points, by start and then
     kind; ``judged`` has them as structs with their verdict. Base spans always
@@ -123,11 +123,11 @@ def scan(docs: DataFrame, id_col: str = "doc_id", owner_col: str = "source", tex
     each = some.select("row", F.inline("found")).join(maybe_broadcast(verdicts), "hash").filter((F.col("kind") < 3) | F.col("live"))
     spans = each.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", "kind", "stop", "live"))).alias("judged"))  # of one text
     none = F.array().cast("array<struct<start:int,kind:int,stop:int,live:boolean>>")
-    full = some.join(spans, "row", "left").select(id_col, F.coalesce("judged", none).alias("judged")).union(rows.filter(F.size("found") == 0).select(id_col, none))
+    full = some.join(spans, "row", "left").select(id_col, "print", F.coalesce("judged", none).alias("judged")).union(rows.filter(F.size("found") == 0).select(id_col, "print", none))
     base = F.filter("judged", lambda x: x["kind"] < 3)
     count = lambda kind: F.size(F.filter("judged", lambda x: x["kind"] == kind)).cast("long")
     live = F.size(F.filter("judged", lambda x: x["live"])).cast("long")
-    return full.select(id_col, count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"), _joined(base).alias("base"), _joined(F.col("judged")).alias("spans"), live.alias("n_live"), (F.size("judged") - live).alias("n_copied"), "judged")
+    return full.select(id_col, count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"), _joined(base).alias("base"), _joined(F.col("judged")).alias("spans"), live.alias("n_live"), (F.size("judged") - live).alias("n_copied"), "judged", "print")
 
 
 def _mask(text: str, judged: list[dict]) -> str:
@@ -147,12 +147,12 @@ def _mask(text: str, judged: list[dict]) -> str:
 def redact(docs: DataFrame, id_col: str = "doc_id", owner_col: str = "source", text_col: str = "text") -> DataFrame:
     """``docs`` with every secret replaced by its kind and verdict; all rows and columns stay.
 
-    Texts are masked in the pass that reads them, from the hashes' verdicts.
-    Rows with a null id are masked by the base patterns alone.
+    Spans are matched to rows by id and text, so repeated and null ids do no harm.
+    A null text stays null.
     """
     found = scan(docs, id_col, owner_col, text_col)
-    spans = materialise(found.filter(F.size("judged") > 0).select(F.col(id_col).alias("_id"), F.col("judged").alias("_judged")).dropDuplicates(["_id"]))
-    joined = docs.join(maybe_broadcast(spans, 20_000), docs[id_col] == spans["_id"], "left")
+    spans = materialise(found.filter(F.size("judged") > 0).select(F.col(id_col).alias("_id"), F.col("print").alias("_print"), F.col("judged").alias("_judged")).dropDuplicates(["_id", "_print"]))
+    joined = docs.join(maybe_broadcast(spans, 20_000), docs[id_col].eqNullSafe(spans["_id"]) & (F.xxhash64(docs[text_col]) == spans["_print"]), "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
