@@ -17,10 +17,13 @@ def deduplicate(rows: DataFrame, *by: str, order: tuple[str, ...] = ("seg", "off
 
 
 def to_storage(landed: DataFrame, keys: tuple[KeyDef, ...] | list[KeyDef]) -> DataFrame:
-    """Records of one series and epoch with typed keys: storage columns, ``hour``, and ``seg, off``."""
+    """Records of one series and epoch with typed keys: storage columns, ``hour``, and ``seg, off``.
+
+    The defaults of what is never null make it so in the schema too.
+    """
     typed = [key_value(F.get("keys", F.lit(i)), k.type).alias(k.name) for i, k in enumerate(keys)]
     return landed.select(
-        to_timestamp("ts_us").alias("ts"), F.coalesce("id", F.lit("")).alias("id"), *typed, canonical_extra("extra").alias("extra"), F.coalesce("data", F.lit("")).alias("data"), hour("ts_us").alias("hour"), "seg", "off"
+        F.coalesce(to_timestamp("ts_us"), F.timestamp_micros(F.lit(0))).alias("ts"), F.coalesce("id", F.lit("")).alias("id"), *typed, F.coalesce(canonical_extra("extra"), F.create_map().cast("map<string,string>")).alias("extra"), F.coalesce("data", F.lit("")).alias("data"), hour("ts_us").alias("hour"), "seg", "off"
     )
 
 
