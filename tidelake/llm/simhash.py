@@ -26,6 +26,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import lean, materialise, maybe_broadcast, small
 
@@ -194,15 +195,31 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return joined.select(id_col, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def with_fingerprint(docs: DataFrame, text_col: str = "text", column: str = "_fp") -> DataFrame:
+    """``docs`` with the fingerprint of each row as a last column."""
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = pa.array([fingerprint(t) for t in batch.column(at).to_pylist()], pa.int64())
+            yield pa.RecordBatch.from_arrays([*batch.columns, found], names=[*batch.schema.names, column])
+
+    return lean(docs, *[f"`{c}`" for c in docs.columns]).mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(column, T.LongType())]))
+
+
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` with the smallest id of each component, one row each; the columns of ``docs``.
+    """One row of each component, that of the smallest id; the columns of ``docs``.
 
-    Rows of a component without any id are kept, as nothing tells them apart.
+    Rows that repeat an id are one document: one of them stays. A row without an
+    id stays if nothing in its component has one, one row for each fingerprint.
     """
     found = near_duplicates(docs, id_col, text_col)
     kept = materialise(found.filter(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("_kept")).distinct())
     rows = docs.join(F.broadcast(kept) if small(kept) else kept.hint("shuffle_hash"), docs[id_col] == kept["_kept"], "left_semi")
-    repeated = not docs.groupBy(id_col).count().filter("count > 1").isEmpty()
-    rows = rows.dropDuplicates([id_col]) if repeated else rows
-    nameless = found.filter(F.col("component_id").isNull()).select(F.col(id_col)).limit(1)
-    return rows if nameless.isEmpty() else rows.union(docs.filter(F.col(id_col).isNull()))
+    if not docs.groupBy(id_col).count().filter(F.col("count") > 1).filter(F.col(id_col).isNotNull()).isEmpty():
+        rows = rows.dropDuplicates([id_col])
+    nameless = materialise(found.filter(F.col("component_id").isNull()).select(F.conv("fingerprint", 16, -10).cast("long").alias("_fp")).distinct())
+    if nameless.isEmpty():
+        return rows
+    extra = with_fingerprint(docs.filter(F.col(id_col).isNull()), text_col).join(nameless, "_fp", "left_semi").dropDuplicates(["_fp"])
+    return rows.union(extra.select(*[f"`{c}`" for c in docs.columns]))
