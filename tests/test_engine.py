@@ -218,6 +218,21 @@ def test_output_does_not_depend_on_partitions(spark, tmp_path, partitions, aqe):
         spark.conf.set("spark.sql.adaptive.enabled", old[1])
 
 
+def test_a_hot_hour_is_sorted_by_several_tasks(spark, tmp_path):
+    with Engine(spark, config(tmp_path), rows_per_task=50) as e:
+        for k in range(2):
+            e.append("trades", rows(spark, [(T13 + i % 150, f"{i % 3}", "A", k) for i in range(300)] + [(T13 + HOUR, "late", "A", k)]), NOW)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        done = e.flush()
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        names = [p.rsplit("/", 1)[1] for p in published(e)]
+        assert (done.rows, done.deduplicated) == (151, 451) and "0000000001-0000000002.e0.parquet" in names and "0000000001-0000000002.e0-1.parquet" in names
+        assert e.table("trades").filter("size = 1").count() == 0
+        for p in published(e):
+            file = [tuple(r) for r in spark.read.parquet(e.files.path(p)).select(F.unix_micros("ts"), "id").collect()]
+            assert file == sorted(file)
+
+
 def test_file_layout(spark, tmp_path):
     import pyarrow.parquet as pq
 

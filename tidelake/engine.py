@@ -19,7 +19,7 @@ from .files import Files
 from .functions.records import micros, value_of
 from .manifest import Manifest
 from .model import KEY_TYPES, LANDED, RECORD, SeriesSpec
-from .operators.flush import flush_counts, sort_for_storage, to_storage
+from .operators.flush import flush_counts, hot_hours, sort_for_storage, to_storage
 from .operators.validate import LAST_US, WINDOW, reject_reason
 from .plans.view import scan, series_view, view_sql
 
@@ -58,13 +58,14 @@ class FlushOutcome:
 class Engine:
     """Opens a data directory: lock, manifest, schemas, sweep, recovery, and a flush if one is overdue."""
 
-    def __init__(self, spark: SparkSession, config: Config, force_unlock: bool = False):
+    def __init__(self, spark: SparkSession, config: Config, force_unlock: bool = False, rows_per_task: int = 20_000_000):
         spark.conf.set("spark.sql.session.timeZone", "UTC")
         config.validate()
         self.spark, self.config, self.counts = spark, config, Stats()
         self.files = Files(spark, config.data_dir)
         self.files.mkdirs("")
         self.lock = store.Lock(self.files, force_unlock)
+        self.rows_per_task = rows_per_task  # an hour of more is sorted by several tasks
         self.single, self.failed, self.timer = threading.RLock(), False, None
         try:
             store.require_manifest(self.files)
@@ -249,7 +250,7 @@ class Engine:
                 total["rejected"] += bad
                 self._reject(mine.withColumn("_reason", F.lit("schema")), last)
                 continue
-            rows = sort_for_storage(to_storage(judged.filter("_reason is null"), keys)).drop("seg", "off").observe(wrote, F.count("*").alias("n"))
+            rows = sort_for_storage(to_storage(judged.filter("_reason is null"), keys), hot=hot_hours(mine, self.rows_per_task)).drop("seg", "off").observe(wrote, F.count("*").alias("n"))
             written = f"tmp/{series}/write-{uuid.uuid4().hex}"
             writer = rows.write.partitionBy("hour").option("compression", COMPRESSION[self.config.flush.compression])
             for option, value in _PARQUET.items():

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -27,18 +27,29 @@ def to_storage(landed: DataFrame, keys: tuple[KeyDef, ...] | list[KeyDef]) -> Da
     )
 
 
-def sort_for_storage(rows: DataFrame, partitions: int | None = None, spread: Column | None = None) -> DataFrame:
+def hot_hours(landed: DataFrame, rows_per_task: int) -> dict[str, int]:
+    """Hours of more than ``rows_per_task`` records, with the tasks they need. Reads times alone; gives hot hours only."""
+    counts = landed.groupBy(hour("ts_us").alias("hour")).agg(F.count("*").alias("n")).filter(F.col("n") > rows_per_task)
+    return {r["hour"]: -(-r["n"] // rows_per_task) for r in counts.collect() if r["hour"]}
+
+
+def sort_for_storage(rows: DataFrame, partitions: int | None = None, hot: dict[str, int] | None = None) -> DataFrame:
     """One row for each (hour, ts, id), sorted by them within hours.
 
     One exchange, by hour: as the hour follows from the time, the window over
     (hour, ts, id) needs no other, and its sort is the order of the files. A
-    ``spread`` deals each hour over several tasks by a hash of the time, for hours
-    too large for one; rows with one key still meet.
+    ``hot`` hour is dealt over so many tasks by a hash of time and id, so rows
+    that are alike still meet, and each of its files is sorted.
     """
-    by = [F.col("hour")] if spread is None else [F.col("hour"), spread]
+    by = ["hour"]
+    if hot:
+        tasks = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for item in hot.items() for x in item]), F.col("hour")), F.lit(1))
+        rows = rows.withColumn("_part", F.pmod(F.xxhash64("ts", "id"), tasks))
+        by.append("_part")
     dealt = rows.repartition(partitions, *by) if partitions else rows.repartition(*by)
-    window = Window.partitionBy("hour", "ts", "id").orderBy("seg", "off")
-    return dealt.withColumn("_arrival", F.row_number().over(window)).filter("_arrival = 1").drop("_arrival")
+    # The names of this list are also the order of the sort: the part comes last.
+    window = Window.partitionBy("hour", "ts", "id", *by[1:]).orderBy("seg", "off")
+    return dealt.withColumn("_arrival", F.row_number().over(window)).filter("_arrival = 1").drop("_arrival", "_part")
 
 
 def flush_counts(decoded: int, rejected: int, written: int) -> dict[str, int]:
