@@ -266,3 +266,21 @@ def test_stream_equals_batch_and_lands_once(spark, tmp_path):
     assert e.append_raw(again, NOW, source="ingest-0").accepted == 0
     assert e.table("trades").count() == len({(i % 7, i % 5) for i in range(40)})
     e.close()
+
+
+def test_timer_and_drain(spark, tmp_path):
+    import time
+
+    from tidelake.streaming import drain
+
+    inbox = tmp_path / "inbox"
+    inbox.mkdir()
+    (inbox / "0.txt").write_text(json.dumps({"ts": T13, "id": "a", "keys": ["A", 1]}))
+    with Engine(spark, config(tmp_path / "lake", interval_ms=1500)) as e:
+        stream, _ = parse_lines(spark.readStream.option("maxFilesPerTrigger", 1).text(str(inbox)), "trades", 0)
+        assert drain(ingest_stream(e, stream, str(tmp_path / "cp"), "drained", interval="1 second", now_us=NOW), 60)
+        assert e.counts.appended == 1
+        until = time.time() + 60
+        while not e.counts.flushes and time.time() < until:
+            time.sleep(0.2)
+        assert e.table("trades").count() == 1

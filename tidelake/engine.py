@@ -76,6 +76,7 @@ class Engine:
             self.next_segment = store.recover(self.files, self.manifest.last_flushed_segment)
             if config.flush.on_startup and store.segments(self.files) and self.overdue():
                 self.flush()
+            self.start_timer()
         except BaseException:
             self.lock.release()
             raise
@@ -347,6 +348,7 @@ class Engine:
         if self.timer:
             self.timer_stop.set()
             self.timer.join()
+            self.timer = None
         self.lock.release()
 
     def __enter__(self) -> Engine:

@@ -1,5 +1,5 @@
 """Continuous ingest."""
 
-from .ingest import ingest_stream
+from .ingest import drain, ingest_stream
 
-__all__ = ["ingest_stream"]
+__all__ = ["drain", "ingest_stream"]

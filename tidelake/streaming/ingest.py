@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import threading
+
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
@@ -24,3 +26,13 @@ def ingest_stream(engine: Engine, records: DataFrame, checkpoint: str, name: str
 
     writer = records.writeStream.foreachBatch(land).option("checkpointLocation", checkpoint).queryName(name)
     return (writer.trigger(processingTime=interval) if interval else writer.trigger(availableNow=True)).start()
+
+
+def drain(query: StreamingQuery, seconds: float = 5.0) -> bool:
+    """Reads what has arrived, for so long at most, and stops the query; whether all was read."""
+    worker = threading.Thread(target=query.processAllAvailable, daemon=True)
+    worker.start()
+    worker.join(seconds)
+    done = not worker.is_alive()
+    query.stop()
+    return done
