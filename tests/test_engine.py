@@ -148,8 +148,9 @@ def test_crashes(spark, tmp_path):
         one = published(e)[0]
         name = one.rsplit("/", 1)[1]
         hour = one.split("hour=")[1].split("/")[0]
-        e.files.mkdirs("tmp/trades", hour)
-        e.files.rename(one, f"tmp/trades/{hour}/{name}")  # as if a publish had not been reached
+        staged = f"tmp/trades/{name.removesuffix('.parquet')}/hour={hour}"
+        e.files.mkdirs(staged)
+        e.files.rename(one, f"{staged}/part-0.parquet")  # as if a publish had not been reached
         e.files.write("x", f"series/trades/hour={hour}/0000000002-0000000002.e0.parquet")  # as if a commit had not
         e.files.write("x", f"series/trades/hour={hour}/stranger.parquet.keep")
         e.files.mkdirs("wal/_tmp-1")

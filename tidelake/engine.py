@@ -262,7 +262,7 @@ class Engine:
             total = {k: total[k] + counts[k] for k in total}
             if counts["rejected"]:
                 self._reject(mine.withColumn("_reason", reason).filter("_reason is not null"), last)
-            staged += store.stage(self.files, series, written, first, last, epoch)
+            staged.append(store.stage(self.files, series, written, first, last, epoch))
         if not total["rows"] and not total["rejected"]:
             return FlushOutcome(False)
         self.manifest.last_flushed_segment = max(self.manifest.last_flushed_segment, last)
@@ -271,14 +271,13 @@ class Engine:
             if self.files.exists("wal", store.segment_name(s), "_source.json"):
                 self.files.write("", "sources", json.loads(self.files.read("wal", store.segment_name(s), "_source.json")))
         self.manifest.commit(self.files)  # the commit point
-        for path in staged:
-            store.promote(self.files, path)
+        files = sum(store.promote(self.files, path) for path in staged)
         for s in segments:
             self.files.delete("wal", store.segment_name(s))
         for series in touched:
             self.files.mkdirs("series", series)
             self.files.write(view_sql(series, self.manifest.series[series]), "series", series, "view.sql")
-        return FlushOutcome(True, **total, files=len(staged), first_segment=first, last_segment=last)
+        return FlushOutcome(True, **total, files=files, first_segment=first, last_segment=last)
 
     def _reject(self, rows: DataFrame, segment: int) -> None:
         """Keeps rejected records, while all kept ones take less than the cap."""
@@ -288,7 +287,7 @@ class Engine:
     # -- reading
 
     def _series_files(self, name: str) -> bool:
-        return any(store.parse_output(p.rsplit("/", 1)[-1]) for p in self.files.walk(f"series/{name}"))
+        return any(n.startswith("hour=") for n in self.files.names("series", name))
 
     def table(self, name: str) -> DataFrame:
         """All published rows of a series, all epochs joined."""
@@ -358,8 +357,8 @@ class Engine:
         self.close()
 
 
-#: Writer options: times as deltas, no dictionaries for columns that hardly repeat, no statistics of payloads.
-_PARQUET = {"parquet.writer.version": "PARQUET_2_0", "parquet.enable.dictionary#ts": "false", "parquet.enable.dictionary#id": "false", "parquet.enable.dictionary#data": "false", "parquet.column.statistics.enabled#data": "false", "parquet.block.size": str(1 << 30)}
+#: Writer options: tasks may move files into place, as nothing counts before the manifest says so; times as deltas, no dictionaries for columns that hardly repeat, no statistics of payloads.
+_PARQUET = {"mapreduce.fileoutputcommitter.algorithm.version": "2", "parquet.writer.version": "PARQUET_2_0", "parquet.enable.dictionary#ts": "false", "parquet.enable.dictionary#id": "false", "parquet.enable.dictionary#data": "false", "parquet.column.statistics.enabled#data": "false", "parquet.block.size": str(1 << 30)}
 
 
 def _names(schema: str) -> list[str]:

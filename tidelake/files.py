@@ -41,12 +41,14 @@ class Files:
         return self.exists(*parts) and self.fs.getFileStatus(self._at(*parts)).isDirectory()
 
     def walk(self, *parts: str) -> list[str]:
-        """Relative paths of all files below, in order."""
-        found = []
-        for name in self.names(*parts):
-            below = "/".join([*[p for p in parts if p], name])
-            found += self.walk(below) if self.is_dir(below) else [below]
-        return found
+        """Relative paths of all files below, in order; one listing."""
+        if not self.exists(*parts):
+            return []
+        found, listing = [], self.fs.listFiles(self._at(*parts), True)
+        while listing.hasNext():
+            found.append(listing.next().getPath().toString())
+        top = self.fs.makeQualified(self._at()).toString().rstrip("/") + "/"
+        return sorted(f.removeprefix(top) for f in found)
 
     def bytes_in(self, *parts: str) -> int:
         return self.fs.getContentSummary(self._at(*parts)).getLength() if self.exists(*parts) else 0
