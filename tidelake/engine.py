@@ -251,7 +251,9 @@ class Engine:
                 total["rejected"] += bad
                 self._reject(mine.withColumn("_reason", F.lit("schema")), last)
                 continue
-            rows = sort_for_storage(to_storage(judged.filter("_reason is null"), keys), hot=hot_hours(mine, self.rows_per_task)).drop("seg", "off").observe(wrote, F.count("*").alias("n"))
+            # A fixed number of tasks: opening a file an hour is most of a small flush, and one task would do it all.
+            tasks = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+            rows = sort_for_storage(to_storage(judged.filter("_reason is null"), keys), tasks, hot_hours(mine, self.rows_per_task)).drop("seg", "off").observe(wrote, F.count("*").alias("n"))
             written = f"tmp/{series}/write-{uuid.uuid4().hex}"
             writer = rows.write.partitionBy("hour").option("compression", COMPRESSION[self.config.flush.compression])
             for option, value in _PARQUET.items():
