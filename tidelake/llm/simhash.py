@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import lean, materialise, maybe_broadcast, small
+from .common import lean, materialise, maybe_broadcast
 
 SHINGLE, RADIUS, SEED = 3, 2, 42
 BLOCKS = [0xFFFF << shift for shift in (0, 16, 32, 48)]
@@ -215,7 +215,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """
     found = near_duplicates(docs, id_col, text_col)
     kept = materialise(found.filter(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("_kept")).distinct())
-    rows = docs.join(F.broadcast(kept) if small(kept) else kept.hint("shuffle_hash"), docs[id_col] == kept["_kept"], "left_semi")
+    rows = docs.join(kept.hint("shuffle_hash"), docs[id_col] == kept["_kept"], "left_semi")
     if not docs.groupBy(id_col).count().filter(F.col("count") > 1).filter(F.col(id_col).isNotNull()).isEmpty():
         rows = rows.dropDuplicates([id_col])
     nameless = materialise(found.filter(F.col("component_id").isNull()).select(F.conv("fingerprint", 16, -10).cast("long").alias("_fp")).distinct())
