@@ -31,6 +31,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 BIN_ROWS, MAX_BINS = 128, 4096
 #: A source is repeated so many times at most.
 MAX_COPIES = 3
+#: Sources whose plan may be broadcast; a row has the draws of about a bin.
+PLAN_ROWS = 20_000
 
 
 def word_count(text: str = "text") -> Column:
@@ -101,7 +103,7 @@ class Mix:
         """Adds ``_copies``, and the plan's columns under leading underscores."""
         plan = self.plan.select(*[F.col(c).alias(f"_{c}") for c in self.plan.columns])
         drawn = docs.withColumn("_key", _key(self.source_col)).withColumn("_draw", _draw(self.seed, self.id_col, size))
-        joined = drawn.join(maybe_broadcast(plan), "_key")
+        joined = drawn.join(maybe_broadcast(plan, PLAN_ROWS), "_key")
         bin_ = F.floor(_uniform("_draw") * F.col("_bins"))
         extra = F.when(bin_ < F.col("_cut"), 1).when(bin_ == F.col("_cut"), F.array_contains("_chosen", F.col("_draw")).cast("int")).otherwise(0)
         return joined.withColumn("_copies", (F.col("_whole") + extra).cast("int"))

@@ -32,6 +32,8 @@ _WORDS = ("password", "passwd", "secret", "token", "api")
 _LONG = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 #: A value is live if so many owners have it at most, and an owned one must have so many bits of entropy a character.
 MAX_OWNERS, MIN_ENTROPY = 2, 3.0
+#: Spans of a corpus that may be broadcast to its rows, after they were counted; each has four numbers.
+BROADCAST_SPANS = 100_000
 
 
 def base_spans(text: str) -> list[tuple[int, int, int, str]]:
@@ -152,7 +154,9 @@ def redact(docs: DataFrame, id_col: str = "doc_id", owner_col: str = "source", t
     """
     found = scan(docs, id_col, owner_col, text_col)
     spans = materialise(found.filter(F.size("judged") > 0).select(F.col(id_col).alias("_id"), F.col("print").alias("_print"), F.col("judged").alias("_judged")).dropDuplicates(["_id", "_print"]))
-    joined = docs.join(maybe_broadcast(spans, 20_000), docs[id_col].eqNullSafe(spans["_id"]) & (F.xxhash64(docs[text_col]) == spans["_print"]), "left")
+    if spans.agg(F.coalesce(F.sum(F.size("_judged")), F.lit(0))).first()[0] <= BROADCAST_SPANS:
+        spans = F.broadcast(spans)
+    joined = docs.join(spans, docs[id_col].eqNullSafe(spans["_id"]) & (F.xxhash64(docs[text_col]) == spans["_print"]), "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
