@@ -245,7 +245,7 @@ class Engine:
             touched |= {series} & set(self.manifest.series)
             reason = reject_reason({(series, epoch): keys} if keys is not None else {}, strict=False)
             read, wrote = Observation(), Observation()
-            judged = mine.withColumn("_reason", reason).observe(read, F.count("*").alias("n"), F.count("_reason").alias("bad"))
+            judged = mine.withColumn("_reason", reason).observe(read, F.count("_reason").alias("bad"))
             if keys is None:
                 bad = mine.count()
                 total["rejected"] += bad
@@ -260,7 +260,9 @@ class Engine:
                 writer = writer.option(option, value)
             self.spark.conf.set("spark.sql.parquet.outputTimestampType", "TIMESTAMP_MICROS")
             writer.option("parquet.block.row.count.limit", str(self.config.flush.row_group_rows)).parquet(self.files.path(written))
-            counts = flush_counts(read.get["n"], read.get["bad"], wrote.get["n"])
+            # Rows before the exchange may be observed twice if executors are lost, so only whether any is bad is taken from there.
+            bad = mine.filter(reason.isNotNull()).count() if read.get["bad"] else 0
+            counts = flush_counts(mine.count(), bad, wrote.get["n"])
             total = {k: total[k] + counts[k] for k in total}
             if counts["rejected"]:
                 self._reject(mine.withColumn("_reason", reason).filter("_reason is not null"), last)
