@@ -512,3 +512,12 @@ def test_pipeline(spark):
     assert mixed.columns == docs.columns
     out = corpus_pipeline.run(spark, DATA)
     assert out.count() > 0 and set(out.columns) >= {"doc_id", "n_tokens", "ids_sha256", "decoded_sha256"}
+
+
+def test_side_tables_too_large_to_broadcast(spark, monkeypatch):
+    d = table(spark, ODD).repartition(3)
+    redacted, mixed = sorted(map(str, ran(secrets.redact(d)))), sorted(map(str, ran(mixing.mix_documents(d))))
+    monkeypatch.setattr(secrets, "BROADCAST_SPANS", 0)
+    monkeypatch.setattr(mixing, "PLAN_ROWS", 0)
+    assert sorted(map(str, ran(secrets.redact(d)))) == redacted
+    assert sorted(map(str, ran(mixing.mix_documents(d)))) == mixed
