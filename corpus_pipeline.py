@@ -17,7 +17,7 @@ from tidelake.llm.bpe import encode_documents
 from tidelake.llm.common import documents, materialise
 from tidelake.llm.mixing import mix_documents
 from tidelake.llm.secrets import redact
-from tidelake.llm.simhash import keep_one
+from tidelake.llm.similar import keep_one_alike
 from tidelake.llm.toxicity import drop_toxic, train_on
 
 
@@ -27,8 +27,8 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays, that of the smallest id."""
-    return keep_one(docs)
+    """One document of each group of near copies stays, that of the smallest id."""
+    return keep_one_alike(docs)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

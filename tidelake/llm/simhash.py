@@ -18,7 +18,7 @@ shards that can hold its answers.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -195,13 +195,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return joined.select(id_col, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def with_fingerprint(docs: DataFrame, text_col: str = "text", column: str = "_fp") -> DataFrame:
+def with_fingerprint(docs: DataFrame, text_col: str = "text", column: str = "_fp", of: Callable[[str | None], int] = fingerprint) -> DataFrame:
     """``docs`` with the fingerprint of each row as a last column."""
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = pa.array([fingerprint(t) for t in batch.column(at).to_pylist()], pa.int64())
+            found = pa.array([of(t) for t in batch.column(at).to_pylist()], pa.int64())
             yield pa.RecordBatch.from_arrays([*batch.columns, found], names=[*batch.schema.names, column])
 
     return lean(docs, *[f"`{c}`" for c in docs.columns]).mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(column, T.LongType())]))
@@ -215,11 +215,17 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """
     found = near_duplicates(docs, id_col, text_col)
     kept = materialise(found.filter(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("_kept")).distinct())
+    nameless = found.filter(F.col("component_id").isNull()).select(F.conv("fingerprint", 16, -10).cast("long").alias("_fp")).distinct()
+    return keep_rows(docs, kept, nameless, fingerprint, id_col, text_col)
+
+
+def keep_rows(docs: DataFrame, kept: DataFrame, nameless: DataFrame, of: Callable[[str | None], int], id_col: str, text_col: str) -> DataFrame:
+    """One row for each id ``_kept``, and of those without an id one for each ``_fp``, which ``of`` gives for a text."""
     rows = docs.join(kept.hint("shuffle_hash"), docs[id_col] == kept["_kept"], "left_semi")
     if not docs.groupBy(id_col).count().filter(F.col("count") > 1).filter(F.col(id_col).isNotNull()).isEmpty():
         rows = rows.dropDuplicates([id_col])
-    nameless = materialise(found.filter(F.col("component_id").isNull()).select(F.conv("fingerprint", 16, -10).cast("long").alias("_fp")).distinct())
+    nameless = materialise(nameless)
     if nameless.isEmpty():
         return rows
-    extra = with_fingerprint(docs.filter(F.col(id_col).isNull()), text_col).join(nameless, "_fp", "left_semi").dropDuplicates(["_fp"])
+    extra = with_fingerprint(docs.filter(F.col(id_col).isNull()), text_col, of=of).join(nameless, "_fp", "left_semi").dropDuplicates(["_fp"])
     return rows.union(extra.select(*[f"`{c}`" for c in docs.columns]))
