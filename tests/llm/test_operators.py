@@ -521,3 +521,13 @@ def test_side_tables_too_large_to_broadcast(spark, monkeypatch):
     monkeypatch.setattr(mixing, "PLAN_ROWS", 0)
     assert sorted(map(str, ran(secrets.redact(d)))) == redacted
     assert sorted(map(str, ran(mixing.mix_documents(d)))) == mixed
+
+
+def test_long_documents_leave_no_gap(spark):
+    """However a long document is drawn, those behind it fill what it leaves."""
+    rows = [(i, "w " * (1 + i % 7), "en", "a") for i in range(900)] + [(i, "w " * 1000, "en", "a") for i in range(1000, 1003)] + [(2000, "w " * 5000, "en", "b")]
+    d = table(spark, rows)
+    for seed in range(6):
+        got = ran(mixing.mix_sizes(d, seed=seed).join(d.select("doc_id", "source"), "doc_id"))
+        mine = [r for r in got if r["source"] == "a"]
+        assert abs(sum(r["taken"] for r in mine) - mine[0]["target"]) <= 1, seed

@@ -10,9 +10,10 @@ unequal-probability sample, stratified by source.
 
 The end of each ranked prefix is found by counting: words are summed for bins
 of the rank, then for finer bins inside the one where the target is crossed.
-Only the last bin, of about BIN_ROWS documents, is looked at row by row. The
-result is a plan with one row per source, which is applied to documents without
-moving their texts.
+Only that bin, of about BIN_ROWS documents, is looked at row by row. Documents
+that do not fit are passed over, and the count goes on in later bins with those
+that fit what is left, until none does. The result is a plan with one row per
+source, which is applied to documents without moving their texts.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 BIN_ROWS, MAX_BINS = 128, 4096
 #: A source is repeated so many times at most.
 MAX_COPIES = 3
-#: Sources whose plan may be broadcast; a row has the draws of about a bin.
+#: Sources whose plan may be broadcast; a row has the draws of about a bin, and few more of later ones.
 PLAN_ROWS = 20_000
 
 
@@ -86,12 +87,16 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...]) -> DataFrame:
     return weighed.withColumn("target", F.least(F.col("weight") * F.lit(float(level)), cap.cast("double"))).drop("_at")
 
 
+STEPS = "array<struct<low:bigint,high:bigint,least:bigint,most:bigint>>"
+
+
 @dataclass
 class Mix:
-    """One row per source: ``key, source_size, target, whole, bins, cut, chosen``.
+    """One row per source: ``key, source_size, target, whole, bins, steps, chosen``.
 
-    A document takes ``whole`` copies, and one more if its bin is below ``cut``
-    or its draw is among ``chosen``, which has draws of the bin ``cut`` alone.
+    A document takes ``whole`` copies, and one more if its bin and size are
+    within one of ``steps`` or its draw is among ``chosen``, which has draws of
+    the bins alone that were looked at row by row.
     """
 
     plan: DataFrame
@@ -104,9 +109,16 @@ class Mix:
         plan = self.plan.select(*[F.col(c).alias(f"_{c}") for c in self.plan.columns])
         drawn = docs.withColumn("_key", _key(self.source_col)).withColumn("_draw", _draw(self.seed, self.id_col, size))
         joined = drawn.join(maybe_broadcast(plan, PLAN_ROWS), "_key")
-        bin_ = F.floor(_uniform("_draw") * F.col("_bins"))
-        extra = F.when(bin_ < F.col("_cut"), 1).when(bin_ == F.col("_cut"), F.array_contains("_chosen", F.col("_draw")).cast("int")).otherwise(0)
-        return joined.withColumn("_copies", (F.col("_whole") + extra).cast("int"))
+        return joined.withColumn("_copies", (F.col("_whole") + _taken(_bin(), size).cast("int")).cast("int"))
+
+
+def _bin() -> Column:
+    return F.floor(_uniform("_draw") * F.col("_bins"))
+
+
+def _taken(bin_: Column, size: str) -> Column:
+    """Whether the plan takes the document once more."""
+    return F.exists("_steps", lambda x: bin_.between(x["low"], x["high"] - 1) & F.col(size).between(x["least"], x["most"])) | F.array_contains("_chosen", F.col("_draw"))
 
 
 def _crossing(rows: DataFrame, bin_: str) -> DataFrame:
@@ -118,23 +130,50 @@ def _crossing(rows: DataFrame, bin_: str) -> DataFrame:
 
 
 def _walk() -> Column:
-    """Takes the documents that still fit, in rank order; then the smallest other one, if that comes nearer."""
-    start = F.struct(F.col("_left").alias("left"), F.array().cast("array<bigint>").alias("chosen"), F.lit(None).cast("struct<words:bigint,draw:bigint>").alias("over"))
+    """Takes the documents that still fit, in rank order; gives their draws and what is left."""
+    start = F.struct(F.col("_left").alias("left"), F.array().cast("array<bigint>").alias("chosen"))
 
     def step(acc: Column, doc: Column) -> Column:
         fits = doc["words"] <= acc["left"]
-        other = F.struct(doc["words"].alias("words"), doc["draw"].alias("draw"))
-        return F.struct(
-            F.when(fits, acc["left"] - doc["words"]).otherwise(acc["left"]).alias("left"),
-            F.when(fits, F.concat(acc["chosen"], F.array(doc["draw"]))).otherwise(acc["chosen"]).alias("chosen"),
-            F.when(fits, acc["over"]).otherwise(F.least(acc["over"], other)).alias("over"),
-        )
+        return F.struct(F.when(fits, acc["left"] - doc["words"]).otherwise(acc["left"]).alias("left"), F.when(fits, F.concat(acc["chosen"], F.array(doc["draw"]))).otherwise(acc["chosen"]).alias("chosen"))
+
+    return F.aggregate("ranked", start, step)
 
-    def finish(acc: Column) -> Column:
-        nearer = acc["over"]["words"] < 2 * acc["left"]
-        return F.when(nearer, F.concat(acc["chosen"], F.array(acc["over"]["draw"]))).otherwise(acc["chosen"])
 
-    return F.aggregate("ranked", start, step, finish)
+def _fill(binned: DataFrame, goals: DataFrame) -> DataFrame:
+    """``key, left, steps, chosen``: the walk over all of ``binned`` in rank order, and what it leaves.
+
+    Each round goes on behind the bin that the last one looked into, with the
+    documents no larger than what is left. All of them fit up to the bin where
+    their words cross it, and in that bin they are taken one by one.
+    """
+    none = F.array().cast("array<bigint>").alias("chosen")
+    state = goals.select("key", "left", "bins", "p", F.lit(0).cast("long").alias("low"), F.lit(0).cast("long").alias("least"), F.lit(2**63 - 1).alias("most"), F.array().cast(STEPS).alias("steps"), none)
+    while True:
+        state = materialise(state)
+        now = state.filter("low < bins and most > 0")
+        if now.isEmpty():
+            return state.select("key", "left", "steps", "chosen")
+        side = maybe_broadcast(now.select(F.col("key").alias("_key"), F.col("left").alias("_left"), F.col("low").alias("_low"), F.col("least").alias("_least"), F.col("most").alias("_most"), F.col("p").alias("_p")))
+        binned = binned.drop("_left", "_low", "_least", "_most", "_p").join(side, "_key").filter(F.col("_bin").between(F.col("_low"), F.lit(2**62)) & F.col("_size").between(F.col("_least"), F.col("_most")))
+        if state.filter("low > 0").limit(1).count():
+            binned = materialise(binned)  # what may fit gets less each time
+        sums = binned.groupBy("_key").agg(F.sum("_size").alias("_all"))
+        first = materialise(_crossing(binned, "_coarse").withColumnsRenamed({"at": "_at", "before": "_before"}))
+        inside = binned.join(maybe_broadcast(first), "_key").filter(F.col("_coarse") == F.col("_at")).withColumn("_left", F.col("_left") - F.col("_before")).drop("_at", "_before")
+        second = materialise(_crossing(inside, "_bin").withColumnsRenamed({"at": "_cut", "before": "_before"}))
+        last = inside.join(maybe_broadcast(second), "_key").filter(F.col("_bin") == F.col("_cut")).withColumn("_left", F.col("_left") - F.col("_before"))
+        alike = last.groupBy("_key", "_cut", "_draw", "_size").agg(F.sum("_size").alias("words"), F.first("_left").alias("_left"), F.first("_p").alias("_p"))
+        ranked = alike.groupBy("_key", "_cut", "_left").agg(F.array_sort(F.collect_list(F.struct(_rank("_draw", "_p").alias("rank"), F.col("_draw").alias("draw"), "words"))).alias("ranked"))
+        walked = ranked.select("_key", "_cut", _walk().alias("_walked"))
+        joined = state.join(sums.withColumnRenamed("_key", "key"), "key", "left").join(walked.withColumnRenamed("_key", "key"), "key", "left")
+        some, crossed = F.col("_all").isNotNull(), F.col("_cut").isNotNull()
+        left = F.when(crossed, F.col("_walked.left")).when(some, F.col("left") - F.col("_all")).otherwise(F.col("left"))
+        done = F.struct("low", F.when(crossed, F.col("_cut")).otherwise(F.col("bins")).cast("long").alias("high"), "least", "most")
+        state = joined.select(
+            "key", left.alias("left"), "bins", "p", F.when(crossed, F.col("_cut") + 1).otherwise(F.col("bins")).cast("long").alias("low"), F.lit(1).cast("long").alias("least"), F.floor(left).cast("long").alias("most"),
+            F.when(some, F.concat("steps", F.array(done))).otherwise(F.col("steps")).cast(STEPS).alias("steps"), F.when(crossed, F.concat("chosen", "_walked.chosen")).otherwise(F.col("chosen")).alias("chosen"),
+        )
 
 
 def plan_mix(sized: DataFrame, weights: tuple[int, ...] = (1, 2, 3), seed: int = 23, id_col: str = "doc_id", source_col: str = "source", size_col: str = "size") -> Mix:
@@ -155,19 +194,16 @@ def plan_mix(sized: DataFrame, weights: tuple[int, ...] = (1, 2, 3), seed: int =
     goals = targets.withColumn("whole", whole).withColumn("coarse", coarse).withColumn("fine", fine)
     goals = goals.withColumn("left", F.greatest(F.lit(0.0), F.col("target") - F.col("whole") * F.col("source_size"))).withColumn("bins", F.col("coarse") * F.col("fine"))
     goals = materialise(goals.withColumn("p", F.least(F.lit(1 - 1e-12), F.greatest(F.lit(1e-12), ratio - F.col("whole")))))
-    side = maybe_broadcast(goals.select(F.col("key").alias("_key"), F.col("left").alias("_left"), F.col("bins").alias("_bins"), F.col("fine").alias("_fine"), F.col("p").alias("_p")))
-    binned = rows.withColumnRenamed("key", "_key").join(side, "_key").withColumn("_bin", F.floor(_uniform("_draw") * F.col("_bins"))).withColumn("_coarse", F.floor(F.col("_bin") / F.col("_fine")))
-    first = materialise(_crossing(binned, "_coarse").withColumnsRenamed({"at": "_at", "before": "_before"}))
-    inside = binned.join(maybe_broadcast(first), "_key").filter(F.col("_coarse") == F.col("_at")).withColumn("_left", F.col("_left") - F.col("_before")).drop("_at", "_before")
-    second = materialise(_crossing(inside, "_bin").withColumnsRenamed({"at": "_cut", "before": "_before"}))
-    last = inside.join(maybe_broadcast(second), "_key").filter(F.col("_bin") == F.col("_cut")).withColumn("_left", F.col("_left") - F.col("_before"))
-    alike = last.groupBy("_key", "_draw", "_size").agg(F.sum("_size").alias("words"), F.first("_left").alias("_left"), F.first("_p").alias("_p"))
-    ranked = alike.groupBy("_key", "_left").agg(F.array_sort(F.collect_list(F.struct(_rank("_draw", "_p").alias("rank"), F.col("_draw").alias("draw"), "words"))).alias("ranked"))
-    chosen = ranked.select(F.col("_key").alias("key"), _walk().alias("chosen"))
-    cuts = second.select(F.col("_key").alias("key"), F.col("_cut").alias("cut"))
-    plan = goals.join(cuts, "key", "left").join(chosen, "key", "left").select(
-        "key", "source_size", "target", "whole", "bins", F.coalesce("cut", "bins").alias("cut"), F.coalesce("chosen", F.array().cast("array<bigint>")).alias("chosen")
-    )
+    side = maybe_broadcast(goals.select(F.col("key").alias("_key"), F.col("bins").alias("_bins"), F.col("fine").alias("_fine")))
+    binned = rows.withColumnRenamed("key", "_key").join(side, "_key").withColumn("_bin", _bin()).withColumn("_coarse", F.floor(F.col("_bin") / F.col("_fine"))).drop("_bins", "_fine")
+    filled = _fill(binned, goals)
+    # The smallest document that was not taken comes on top if that is nearer.
+    open_ = filled.filter("left > 0").select(*[F.col(c).alias(f"_{c}") for c in filled.columns])
+    others = binned.join(maybe_broadcast(open_, PLAN_ROWS), "_key").filter((F.col("_size") > 0) & (F.col("_size") < 2 * F.col("_left")) & ~_taken(F.col("_bin"), "_size"))
+    over = others.groupBy("_key", "_draw", "_left").agg(F.sum("_size").alias("words")).filter(F.col("words") < 2 * F.col("_left")).groupBy(F.col("_key").alias("key")).agg(F.min(F.struct("words", "_draw")).alias("over"))
+    plan = goals.drop("left").join(filled, "key").join(over, "key", "left").select(
+        "key", "source_size", "target", "whole", "bins", "steps", F.when(F.col("over").isNotNull(), F.concat("chosen", F.array("over._draw"))).otherwise(F.col("chosen")).alias("chosen")
+    )
     return Mix(materialise(plan), seed, id_col, source_col)
 
 
