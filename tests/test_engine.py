@@ -106,6 +106,15 @@ def test_bad_records_do_not_fail_a_flush(spark, tmp_path):
         assert done.committed and (done.rows, done.rejected) == (0, 1)
 
 
+def test_raw_records_over_the_limit_are_rejected(spark, tmp_path):
+    key = [{"tag": 4, "s": "A"}, {"tag": 2, "i": 5}]
+    with Engine(spark, config(tmp_path)) as e:
+        done = e.append_raw(raw(e, spark, [("trades", 0, T13, "x" * 20_000, key), ("trades", 0, T13, "good", key)]), NOW)
+        assert (done.accepted, done.rejected) == (1, 1)
+        assert (e.counts.rejected_ts, e.counts.rejected_series, e.counts.rejected_frames) == (0, 0, 1)
+        assert e.flush().rows == 1
+
+
 def test_reject_cap(spark, tmp_path):
     c = config(tmp_path)
     c.limits.reject_max_bytes = 0

@@ -16,7 +16,7 @@ from . import __version__, store
 from .config import COMPRESSION, Config
 from .errors import KeyArity, LakeError, RecordTooLarge, TsOutOfRange, TypeMismatch, UnknownSeries
 from .files import Files
-from .functions.records import micros, value_of
+from .functions.records import encoded_size, micros, value_of
 from .manifest import Manifest
 from .model import KEY_TYPES, LANDED, RECORD, SeriesSpec
 from .operators.flush import flush_counts, hot_hours, sort_for_storage, to_storage
@@ -143,8 +143,8 @@ class Engine:
     def append_raw(self, records: DataFrame, now_us: int | None = None, source: str | None = None) -> RawIngest:
         """Lands the records (columns of model.RECORD) that can be taken and counts the others.
 
-        A known series with its current or an earlier epoch is enough: keys are
-        checked at the flush. ``source`` names the batch; one that has landed
+        A known series with its current or an earlier epoch and a size within the
+        limit are enough: keys are checked at the flush. ``source`` names the batch; one that has landed
         before is not landed again.
         """
         if source and source in self._landed_sources():
@@ -153,21 +153,20 @@ class Engine:
         known = F.lit(False)
         for s in self.config.series:
             known = known | ((F.col("series") == s.name) & (F.col("epoch") <= self.manifest.current(s.name).epoch))
-        reason = F.when(~F.coalesce(F.col("ts_us").between(window.low, LAST_US if window.high is None else window.high), F.lit(False)), "ts").when(~F.coalesce(known, F.lit(False)), "series")
+        too_large = F.coalesce(encoded_size() > self.config.limits.max_record_bytes, F.lit(False))
+        reason = F.when(too_large, "size").when(~F.coalesce(F.col("ts_us").between(window.low, LAST_US if window.high is None else window.high), F.lit(False)), "ts").when(~F.coalesce(known, F.lit(False)), "series")
         seen, segment = self._land(records, reason, source)
         self._publish(segment, seen["accepted"])
         self.counts.rejected_ts += seen["bad_ts"]
-        self.counts.rejected_series += seen["rejected"] - seen["bad_ts"]
+        self.counts.rejected_series += seen["rejected"] - seen["bad_ts"] - seen["bad_size"]
         self.counts.rejected_frames += seen["rejected"]
         return RawIngest(seen["accepted"], seen["rejected"])
 
     def _land(self, records: DataFrame, reason: Column, source: str | None = None) -> tuple[dict, str]:
-        from .functions.records import encoded_size
-
         seen, segment = Observation(), f"_tmp-{uuid.uuid4().hex}"
         judged = records.select(*_names(RECORD)).withColumn("_reason", reason)
         judged = judged.observe(
-            seen, F.count(F.when(F.col("_reason").isNull(), 1)).alias("accepted"), F.count("_reason").alias("rejected"), F.min("_reason").alias("reason"), F.count(F.when(F.col("_reason") == "ts", 1)).alias("bad_ts"),
+            seen, F.count(F.when(F.col("_reason").isNull(), 1)).alias("accepted"), F.count("_reason").alias("rejected"), F.min("_reason").alias("reason"), F.count(F.when(F.col("_reason") == "ts", 1)).alias("bad_ts"), F.count(F.when(F.col("_reason") == "size", 1)).alias("bad_size"),
             F.max(F.when(F.col("_reason") == "ts", F.col("ts_us"))).alias("ts"), F.max(F.when(F.col("_reason").isin("size", "field"), encoded_size())).alias("size"),
         )
         kept = judged.filter("_reason is null").drop("_reason").withColumn("off", F.monotonically_increasing_id())
