@@ -5,6 +5,7 @@ from __future__ import annotations
 import argparse
 import json
 import sys
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -17,7 +18,7 @@ from .sources.ndjson import read_ndjson
 def main(args: list[str] | None = None) -> int:
     parser = argparse.ArgumentParser(prog="tidelake")
     parser.add_argument("--data", help="data directory, in place of the config's")
-    parser.add_argument("--config", required=True)
+    parser.add_argument("--config", help="configuration; config.json in the data directory, or in ./data, unless given")
     parser.add_argument("--force-unlock", action="store_true")
     commands = parser.add_subparsers(dest="op", required=True)
     for op in ("ping", "stats", "flush", "schema", "shutdown"):
@@ -28,7 +29,7 @@ def main(args: list[str] | None = None) -> int:
     given = parser.parse_args(args)
     spark = SparkSession.builder.appName("tidelake").getOrCreate()
     try:
-        config = Config.load(given.config)
+        config = Config.load(given.config or str(Path(given.data or "data") / "config.json"))
         config.data_dir = given.data or config.data_dir
         with Engine(spark, config, given.force_unlock) as engine:
             if given.op != "send":

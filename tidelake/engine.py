@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import logging
 import threading
 import time
 import uuid
@@ -14,22 +15,26 @@ from pyspark.sql import functions as F
 
 from . import __version__, store
 from .config import COMPRESSION, Config
-from .errors import KeyArity, LakeError, RecordTooLarge, TsOutOfRange, TypeMismatch, UnknownSeries
+from .errors import FieldTooLong, KeyArity, LakeError, RecordTooLarge, TsOutOfRange, TypeMismatch, UnknownSeries
 from .files import Files
 from .functions.records import encoded_size, micros, value_of
 from .manifest import Manifest
 from .model import KEY_TYPES, LANDED, RECORD, SeriesSpec
-from .operators.flush import flush_counts, hot_hours, sort_for_storage, to_storage
-from .operators.validate import LAST_US, WINDOW, reject_reason
+from .operators.flush import flush_counts, landed_groups, sort_for_storage, to_storage
+from .operators.validate import FIELD_LIMIT, LAST_US, WINDOW, key_fits, reject_reason
 from .plans.view import scan, series_view, view_sql
+from .sources.frames import read_frames
+
+log = logging.getLogger(__name__)
 
 
 @dataclass
 class Stats:
-    """Counts since the engine was opened. Rejects at a flush are in its outcome, not here."""
+    """Counts since the engine was opened; ``flush_failures`` are those since the last flush that succeeded. Rejects at a flush are in its outcome, not here."""
 
     appended: int = 0
     rejected_ts: int = 0
+    rejected_size: int = 0
     rejected_series: int = 0
     rejected_frames: int = 0
     flushes: int = 0
@@ -40,8 +45,11 @@ class Stats:
 
 @dataclass
 class RawIngest:
+    """``discarded_bytes`` follow a frame that cannot be read: where the next one begins is not known."""
+
     accepted: int
     rejected: int
+    discarded_bytes: int = 0
 
 
 @dataclass
@@ -66,7 +74,7 @@ class Engine:
         self.files.mkdirs("")
         self.lock = store.Lock(self.files, force_unlock)
         self.rows_per_task = rows_per_task  # an hour of more is sorted by several tasks
-        self.single, self.failed, self.timer = threading.RLock(), False, None
+        self.single, self.landing, self.timer = threading.RLock(), threading.Lock(), None
         try:
             store.require_manifest(self.files)
             self.manifest = Manifest.load(self.files) or Manifest()
@@ -74,6 +82,7 @@ class Engine:
                 self.manifest.commit(self.files)  # before any record has a new epoch
             store.sweep(self.files, self.manifest.last_flushed_segment)
             self.next_segment = store.recover(self.files, self.manifest.last_flushed_segment)
+            self.sources = store.Sources(self.files)
             if config.flush.on_startup and store.segments(self.files) and self.overdue():
                 self.flush()
             self.start_timer()
@@ -120,21 +129,24 @@ class Engine:
         )
 
     def append(self, name: str, df: DataFrame, now_us: int | None = None) -> int:
-        """Lands all rows of ``df``, or none: the first fault found is raised."""
+        """Lands all rows of ``df``, or none: a fault is raised, and counted once. Of several kinds of faults the one that is checked first."""
         records = self.records(name, df)
         epoch, spec = self.manifest.current(name), self.series(name)
-        window = self.accept_window(now_us)
-        reason = reject_reason({(name, epoch.epoch): spec.keys}, window, self.config.limits.max_record_bytes)
-        seen, segment = self._land(records, reason)
+        window, limit = self.accept_window(now_us), self.config.limits.max_record_bytes
+        reason = reject_reason({(name, epoch.epoch): spec.keys}, window, limit)
+        seen, segment = self._land(records, reason, keys=spec.keys)
         if seen["rejected"]:
             self.files.delete("wal", segment)
-            if seen["reason"] == "ts":
-                self.counts.rejected_ts += seen["rejected"]
+            if seen["bad_ts"]:
+                self.counts.rejected_ts += 1
                 raise TsOutOfRange(seen["ts"], window.low, LAST_US if window.high is None else window.high)
-            if seen["reason"] == "type":
-                key = next((k for k in spec.keys if not k.nullable), spec.keys[0])
-                raise TypeMismatch(name, key.name, key.type, None)
-            raise RecordTooLarge(seen["size"], self.config.limits.max_record_bytes)
+            for i, key in enumerate(spec.keys):
+                if seen[f"bad_key_{i}"]:
+                    raise TypeMismatch(name, key.name, key.type, None)
+            if seen["bad_field"]:
+                raise FieldTooLong(name, FIELD_LIMIT)
+            self.counts.rejected_size += 1
+            raise RecordTooLarge(seen["size"], limit)
         self._publish(segment, seen["accepted"])
         return seen["accepted"]
 
@@ -144,30 +156,55 @@ class Engine:
         """Lands the records (columns of model.RECORD) that can be taken and counts the others.
 
         A known series with its current or an earlier epoch and a size within the
-        limit are enough: keys are checked at the flush. ``source`` names the batch; one that has landed
-        before is not landed again.
+        limit are enough: keys are checked at the flush. ``source`` names the
+        batch, as "name-number"; one that has landed before, or has a smaller
+        number than one of its name that has, is not landed again.
         """
-        if source and source in self._landed_sources():
+        if source and source in self.sources:
             return RawIngest(0, 0)
         window = self.accept_window(now_us)
         known = F.lit(False)
         for s in self.config.series:
             known = known | ((F.col("series") == s.name) & (F.col("epoch") <= self.manifest.current(s.name).epoch))
         too_large = F.coalesce(encoded_size() > self.config.limits.max_record_bytes, F.lit(False))
-        reason = F.when(too_large, "size").when(~F.coalesce(F.col("ts_us").between(window.low, LAST_US if window.high is None else window.high), F.lit(False)), "ts").when(~F.coalesce(known, F.lit(False)), "series")
+        reason = F.when(too_large, "size").when(~F.coalesce(F.col("ts_us").between(window.low, LAST_US if window.high is None else window.high), F.lit(False)), "ts").when(~F.coalesce(known, F.lit(False)), "schema")
         seen, segment = self._land(records, reason, source)
-        self._publish(segment, seen["accepted"])
+        self._publish(segment, seen["accepted"], source)
         self.counts.rejected_ts += seen["bad_ts"]
-        self.counts.rejected_series += seen["rejected"] - seen["bad_ts"] - seen["bad_size"]
+        self.counts.rejected_size += seen["bad_size"]
+        self.counts.rejected_series += seen["bad_schema"]
         self.counts.rejected_frames += seen["rejected"]
         return RawIngest(seen["accepted"], seen["rejected"])
 
-    def _land(self, records: DataFrame, reason: Column, source: str | None = None) -> tuple[dict, str]:
+    def append_frames(self, path: str, now_us: int | None = None, source: str | None = None) -> RawIngest:
+        """append_raw() the frames of all files that match ``path``, each a batch as a client sends it.
+
+        Of a batch nothing is read behind a frame whose length or checksum is
+        wrong. Frames of unknown series, and those whose keys cannot be read, are
+        rejected; the rest lands.
+        """
+        arities = {at: len(keys) for at, keys in self.manifest.schemas().items()}
+        frames = read_frames(self.spark, path, arities, self.config.limits.max_record_bytes, batch=True)
+        seen = Observation()
+        bad = F.col("fault").isNotNull()
+        frames = frames.observe(seen, F.count(F.when(bad, 1)).alias("bad"), F.count(F.when(F.col("fault") == "unknown schema", 1)).alias("unknown"), F.coalesce(F.sum("lost"), F.lit(0)).alias("lost"))
+        done = self.append_raw(frames.filter(~bad), now_us, source)
+        if source and not done.accepted and not done.rejected and source in self.sources:
+            return done
+        found = seen.get
+        self.counts.rejected_series += found["unknown"]
+        self.counts.rejected_frames += found["bad"]
+        return RawIngest(done.accepted, done.rejected + found["bad"], found["lost"])
+
+    def _land(self, records: DataFrame, reason: Column, source: str | None = None, keys: tuple = ()) -> tuple[dict, str]:
+        """Writes what has no ``reason`` to a directory that does not count yet, and what was seen meanwhile."""
         seen, segment = Observation(), f"_tmp-{uuid.uuid4().hex}"
         judged = records.select(*_names(RECORD)).withColumn("_reason", reason)
+        bad = lambda r: F.count(F.when(F.col("_reason") == r, 1)).alias(f"bad_{r}")
+        by_key = [F.count(F.when((F.col("_reason") == "type") & ~F.coalesce(key_fits(i, k), F.lit(False)), 1)).alias(f"bad_key_{i}") for i, k in enumerate(keys)]
         judged = judged.observe(
-            seen, F.count(F.when(F.col("_reason").isNull(), 1)).alias("accepted"), F.count("_reason").alias("rejected"), F.min("_reason").alias("reason"), F.count(F.when(F.col("_reason") == "ts", 1)).alias("bad_ts"), F.count(F.when(F.col("_reason") == "size", 1)).alias("bad_size"),
-            F.max(F.when(F.col("_reason") == "ts", F.col("ts_us"))).alias("ts"), F.max(F.when(F.col("_reason").isin("size", "field"), encoded_size())).alias("size"),
+            seen, F.count(F.when(F.col("_reason").isNull(), 1)).alias("accepted"), F.count("_reason").alias("rejected"), *map(bad, ("ts", "size", "schema", "field")), *by_key,
+            F.max(F.when(F.col("_reason") == "ts", F.col("ts_us"))).alias("ts"), F.max(F.when(F.col("_reason") == "size", encoded_size())).alias("size"),
         )
         kept = judged.filter("_reason is null").drop("_reason").withColumn("off", F.monotonically_increasing_id())
         kept.write.partitionBy("series", "epoch").parquet(self.files.path("wal", segment))
@@ -175,18 +212,17 @@ class Engine:
             self.files.write(json.dumps(source), "wal", segment, "_source.json")
         return seen.get, segment
 
-    def _publish(self, segment: str, rows: int) -> None:
+    def _publish(self, segment: str, rows: int, source: str | None = None) -> None:
+        """Makes a landed directory a segment. A flush that runs meanwhile is not waited for."""
         if not rows:
             self.files.delete("wal", segment)
             return
-        with self.single:
+        with self.landing:
             self.files.rename(f"wal/{segment}", f"wal/{store.segment_name(self.next_segment)}")
             self.next_segment += 1
             self.counts.appended += rows
-
-    def _landed_sources(self) -> set[str]:
-        found = {json.loads(self.files.read("wal", store.segment_name(s), "_source.json")) for s in store.segments(self.files) if self.files.exists("wal", store.segment_name(s), "_source.json")}
-        return found | set(self.files.names("sources"))
+            if source:
+                self.sources.add(source)
 
     # -- flush
 
@@ -197,15 +233,14 @@ class Engine:
     def flush(self) -> FlushOutcome:
         """Publishes all landed segments; one flush at a time."""
         with self.single:
-            if self.failed:
+            if self.counts.flush_failures:
                 store.sweep(self.files, self.manifest.last_flushed_segment)
             try:
                 outcome = self._flush()
             except BaseException:
-                self.failed = True
                 self.counts.flush_failures += 1
                 raise
-            self.failed = False
+            self.counts.flush_failures = 0
             self.counts.flushes += outcome.committed
             self.counts.rows_flushed += outcome.rows
             self.counts.deduplicated += outcome.deduplicated
@@ -237,55 +272,67 @@ class Engine:
         first, last = segments[0], segments[-1]
         staged, touched, total = [], set(), {"rows": 0, "deduplicated": 0, "rejected": 0}
         landed, schemas = self.landed(segments), self.manifest.schemas()
-        groups = sorted((r["series"], r["epoch"]) for r in landed.select("series", "epoch").distinct().collect() if r["series"] is not None)  # as many as series and epochs
-        for series, epoch in groups:
-            mine = landed.filter((F.col("series") == series) & (F.col("epoch") == epoch))
+        reason = reject_reason(schemas, strict=False)
+        rejects = landed.withColumn("_reason", reason).filter("_reason is not null")
+        for group in landed_groups(landed.withColumn("_reason", reason), self.rows_per_task):
+            series, epoch = group["series"], group["epoch"]
             keys = schemas.get((series, epoch))
             touched |= {series} & set(self.manifest.series)
-            reason = reject_reason({(series, epoch): keys} if keys is not None else {}, strict=False)
-            read, wrote = Observation(), Observation()
-            judged = mine.withColumn("_reason", reason).observe(read, F.count("_reason").alias("bad"))
-            if keys is None:
-                bad = mine.count()
-                total["rejected"] += bad
-                self._reject(mine.withColumn("_reason", F.lit("schema")), last)
-                continue
-            # A fixed number of tasks: opening a file an hour is most of a small flush, and one task would do it all.
-            tasks = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-            rows = sort_for_storage(to_storage(judged.filter("_reason is null"), keys), tasks, hot_hours(mine, self.rows_per_task)).drop("seg", "off").observe(wrote, F.count("*").alias("n"))
-            written = f"tmp/{series}/write-{uuid.uuid4().hex}"
-            writer = rows.write.partitionBy("hour").option("compression", COMPRESSION[self.config.flush.compression])
-            for option, value in _PARQUET.items():
-                writer = writer.option(option, value)
-            self.spark.conf.set("spark.sql.parquet.outputTimestampType", "TIMESTAMP_MICROS")
-            writer.option("parquet.block.row.count.limit", str(self.config.flush.row_group_rows)).parquet(self.files.path(written))
-            # Rows before the exchange may be observed twice if executors are lost, so only whether any is bad is taken from there.
-            bad = mine.filter(reason.isNotNull()).count() if read.get["bad"] else 0
-            counts = flush_counts(mine.count(), bad, wrote.get["n"])
+            written = 0
+            if keys is not None and group["bad"] < group["n"]:
+                good = landed.filter((F.col("series") == series) & (F.col("epoch") == epoch)).filter(reject_reason({(series, epoch): keys}, strict=False).isNull())
+                written = self._write(series, good, keys, group["hot"], staged, (first, last, epoch))
+            counts = flush_counts(group["n"], group["bad"], written)
             total = {k: total[k] + counts[k] for k in total}
-            if counts["rejected"]:
-                self._reject(mine.withColumn("_reason", reason).filter("_reason is not null"), last)
-            staged.append(store.stage(self.files, series, written, first, last, epoch))
         if not total["rows"] and not total["rejected"]:
             return FlushOutcome(False)
+        if total["rejected"]:
+            self._reject(rejects, last)
         self.manifest.last_flushed_segment = max(self.manifest.last_flushed_segment, last)
         self.manifest.last_flush_at = time.time_ns() // 1000
-        for s in segments:
-            if self.files.exists("wal", store.segment_name(s), "_source.json"):
-                self.files.write("", "sources", json.loads(self.files.read("wal", store.segment_name(s), "_source.json")))
+        self.sources.keep(segments)
+        self.lock.check()
         self.manifest.commit(self.files)  # the commit point
         files = sum(store.promote(self.files, path) for path in staged)
         for s in segments:
             self.files.delete("wal", store.segment_name(s))
         for series in touched:
-            self.files.mkdirs("series", series)
-            self.files.write(view_sql(series, self.manifest.series[series]), "series", series, "view.sql")
+            try:
+                self.files.mkdirs("series", series)
+                self.files.write(view_sql(series, self.manifest.series[series]), "series", series, "view.sql")
+            except Exception as e:  # noqa: BLE001  the flush is committed, and the next one writes it again
+                log.warning("the view of %s was not written: %s", series, e)
         return FlushOutcome(True, **total, files=files, first_segment=first, last_segment=last)
 
+    def _write(self, series: str, good: DataFrame, keys: tuple, hot: dict[str, int], staged: list[str], span: tuple[int, int, int]) -> int:
+        """Writes one series and epoch by hour and stages it; the number of rows."""
+        wrote = Observation()
+        # A fixed number of tasks: opening a file an hour is most of a small flush, and one task would do it all.
+        tasks = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        rows = sort_for_storage(to_storage(good, keys), tasks, hot).drop("seg", "off").observe(wrote, F.count("*").alias("n"))
+        written = f"tmp/{series}/write-{uuid.uuid4().hex}"
+        writer = rows.write.partitionBy("hour").option("compression", COMPRESSION[self.config.flush.compression])
+        for option, value in _PARQUET.items():
+            writer = writer.option(option, value)
+        self.spark.conf.set("spark.sql.parquet.outputTimestampType", "TIMESTAMP_MICROS")
+        writer.option("parquet.block.row.count.limit", str(self.config.flush.row_group_rows)).parquet(self.files.path(written))
+        staged.append(store.stage(self.files, series, written, *span))
+        return wrote.get["n"]
+
     def _reject(self, rows: DataFrame, segment: int) -> None:
-        """Keeps rejected records, while all kept ones take less than the cap."""
-        if self.files.bytes_in("rejects") < self.config.limits.reject_max_bytes:
+        """Keeps rejected records, as many as fit below the cap by their encoded size; a failure is logged only."""
+        try:
+            room = self.config.limits.reject_max_bytes - self.files.bytes_in("rejects")
+            size = F.coalesce(encoded_size(), F.lit(0))
+            all_, largest = rows.agg(F.coalesce(F.sum(size), F.lit(0)), F.coalesce(F.max(size), F.lit(0))).first()
+            if all_ > room:
+                log.warning("rejects are at their cap: further ones are counted only")
+                if room < largest:
+                    return
+                rows = rows.limit(room // largest)
             rows.withColumnRenamed("_reason", "reason").write.mode("append").parquet(self.files.path("rejects", store.segment_name(segment)))
+        except Exception as e:  # noqa: BLE001  what was rejected is counted in any case
+            log.warning("rejected records were not kept: %s", e)
 
     # -- reading
 
@@ -311,7 +358,7 @@ class Engine:
 
     def stats(self) -> dict:
         pending = store.segments(self.files)
-        return asdict(self.counts) | {"pending_segments": len(pending), "pending_bytes": self.files.bytes_in("wal"), "last_flushed_segment": self.manifest.last_flushed_segment, "last_flush_at": self.manifest.last_flush_at}
+        return asdict(self.counts) | {"pending_segments": len(pending), "pending_bytes": self.files.bytes_in("wal"), "segment": self.next_segment, "last_flushed_segment": self.manifest.last_flushed_segment, "last_flush_at": self.manifest.last_flush_at}
 
     def control(self, op: str) -> dict:
         """Replies of the control operations; an error is a reply."""

@@ -32,6 +32,11 @@ class RecordTooLarge(LakeError):
         super().__init__(f"record of {size} bytes is over the limit of {limit}")
 
 
+class FieldTooLong(LakeError):
+    def __init__(self, series: str, limit: int):
+        super().__init__(f"series {series!r}: a text or the number of pairs is over {limit}")
+
+
 class BatchTooLarge(LakeError):
     def __init__(self, size: int, limit: int):
         super().__init__(f"batch of {size} bytes is over the limit of {limit}")

@@ -37,9 +37,6 @@ class Files:
             return []
         return sorted(s.getPath().getName() for s in self.fs.listStatus(self._at(*parts)))
 
-    def is_dir(self, *parts: str) -> bool:
-        return self.exists(*parts) and self.fs.getFileStatus(self._at(*parts)).isDirectory()
-
     def walk(self, *parts: str) -> list[str]:
         """Relative paths of all files below, in order; one listing."""
         if not self.exists(*parts):
@@ -68,6 +65,25 @@ class Files:
         finally:
             stream.close()
 
+    def create(self, text: str, *parts: str) -> bool:
+        """Writes a file unless it is there; whether it was written. The file system decides, so only one of several callers succeeds."""
+        try:
+            stream = self.fs.create(self._at(*parts), False)
+        except Exception:
+            if self.exists(*parts):
+                return False
+            raise
+        try:
+            stream.write(bytearray(text.encode()))
+        finally:
+            stream.close()
+        return True
+
+    def move(self, source: str, target: str) -> None:
+        """rename() where the caller knows that the target is not there."""
+        if not self.fs.rename(self._at(source), self._at(target)):
+            raise OSError(f"cannot rename {source} to {target}")
+
     def rename(self, source: str, target: str) -> None:
         """Fails if the target is there or the source is not."""
         if self.exists(target) or not self.fs.rename(self._at(source), self._at(target)):

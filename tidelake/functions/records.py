@@ -48,6 +48,22 @@ def key_value(value: Column, type_: str) -> Column:
     return value[{"bool": "b", "i64": "i", "f64": "f", "string": "s"}[type_]]
 
 
+def text_of(column: str | Column, type_: str) -> Column:
+    """A value of a key's type as text, as readers of the lake print it: a number without an idle fraction, a time in microseconds, null for null."""
+    c = F.col(column) if isinstance(column, str) else column
+    if type_ == "ts":
+        return micros(c).cast("string")
+    if type_ != "f64":
+        return c.cast("string")
+    shortest = c.cast("string")
+    whole = (F.abs(c) < 1e15) & (F.floor(c) == c)
+    plain = F.when((c == 0) & shortest.startswith("-"), "-0").when(whole, c.cast("long").cast("string"))
+    large = F.when(F.abs(c) < 1e37, shortest.cast("decimal(38,0)").cast("string"))
+    small = F.rtrim(F.lit("0"), F.when(F.abs(c) > 1e-20, shortest.cast("decimal(38,37)").cast("string")))
+    named = F.when(F.isnan(c), "NaN").when(c == float("inf"), "inf").when(c == float("-inf"), "-inf")
+    return F.coalesce(named, plain, F.when(~shortest.contains("E"), shortest), F.when(F.abs(c) >= 1, large), F.when(F.abs(c) < 1, small), shortest)
+
+
 def encoded_size() -> Column:
     """Bytes that a record takes on the wire; needs ``series, id, keys, extra, data``.
 

@@ -27,10 +27,12 @@ def to_storage(landed: DataFrame, keys: tuple[KeyDef, ...] | list[KeyDef]) -> Da
     )
 
 
-def hot_hours(landed: DataFrame, rows_per_task: int) -> dict[str, int]:
-    """Hours of more than ``rows_per_task`` records, with the tasks they need. Reads times alone; gives hot hours only."""
-    counts = landed.groupBy(hour("ts_us").alias("hour")).agg(F.count("*").alias("n")).filter(F.col("n") > rows_per_task)
-    return {r["hour"]: -(-r["n"] // rows_per_task) for r in counts.collect() if r["hour"]}
+def landed_groups(judged: DataFrame, rows_per_task: int) -> list[dict]:
+    """Per series and epoch of landed records with their ``_reason``: ``n``, how many are ``bad``, and the ``hot`` hours of more than ``rows_per_task`` records with the tasks they need. One pass, and a row for each."""
+    hours = judged.groupBy("series", "epoch", hour("ts_us").alias("hour")).agg(F.count("*").alias("n"), F.count("_reason").alias("bad"))
+    hot = F.collect_list(F.when((F.col("n") > rows_per_task) & F.col("hour").isNotNull(), F.struct("hour", "n")))
+    rows = hours.groupBy("series", "epoch").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"), hot.alias("hot")).filter("series is not null").orderBy("series", "epoch").collect()
+    return [r.asDict() | {"hot": {h["hour"]: -(-h["n"] // rows_per_task) for h in r["hot"]}} for r in rows]
 
 
 def sort_for_storage(rows: DataFrame, partitions: int | None = None, hot: dict[str, int] | None = None) -> DataFrame:

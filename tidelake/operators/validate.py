@@ -51,6 +51,11 @@ def _fits(value: Column, key: KeyDef, strict: bool) -> Column:
     return F.when(value["tag"] == TAGS["null"], null).otherwise(value["tag"] == TAGS[key.type])
 
 
+def key_fits(at: int, key: KeyDef, strict: bool = True) -> Column:
+    """Whether the key at that place has the type it should have."""
+    return _fits(F.get("keys", F.lit(at)), key, strict)
+
+
 def reject_reason(schemas: dict[tuple[str, int], tuple[KeyDef, ...]], window: WINDOW | None = None, max_bytes: int | None = None, strict: bool = True) -> Column:
     """Why a record cannot be taken, or null; needs the columns of model.RECORD.
 

@@ -13,14 +13,15 @@ from ..engine import Engine
 def ingest_stream(engine: Engine, records: DataFrame, checkpoint: str, name: str = "ingest", interval: str | None = None, flush_each: bool = False, now_us: int | None = None) -> StreamingQuery:
     """Lands a stream of records (columns of model.RECORD).
 
-    A batch that Spark runs again after a crash is known by its number and lands
-    once. ``interval`` is a processing time; without it all that is available is
+    A batch that Spark runs again after a crash is known by the query's id, which
+    its checkpoint keeps, and its number, and lands once. ``interval`` is a processing time; without it all that is available is
     read and the query ends. Records of any age are taken while they are in the
     accept window: there is no watermark, and late ones go to their own hours.
     """
 
     def land(batch: DataFrame, number: int) -> None:
-        engine.append_raw(batch, now_us, source=f"{name}-{number}")
+        query = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
+        engine.append_raw(batch, now_us, source=f"{name}.{query}-{number}")
         if flush_each or (engine.config.flush.interval_ms and engine.overdue()):
             engine.flush()
 
