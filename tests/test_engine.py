@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tidelake import store
 from tidelake.config import Config
 from tidelake.engine import Engine
-from tidelake.errors import KeyArity, Locked, ManifestError, RecordTooLarge, TsOutOfRange, TypeMismatch, UnknownSeries
+from tidelake.errors import FieldTooLong, KeyArity, Locked, ManifestError, RecordTooLarge, TsOutOfRange, TypeMismatch, UnknownSeries
 from tidelake.model import KeyDef, SeriesSpec
 from tidelake.sources.ndjson import parse_lines
 from tidelake.streaming import ingest_stream
@@ -48,16 +48,20 @@ def test_append_flush_read(spark, tmp_path):
 
 
 def test_duplicates_go_and_hours_get_their_own_files(spark, tmp_path):
+    readings = [(k, hour, minute, gauge) for k in range(3) for hour in range(4) for minute in (5, 40) for gauge in ("north", "south")[: 1 + hour % 2]]
     with Engine(spark, config(tmp_path)) as e:
-        e.append("trades", rows(spark, [(T13, "dup", "first", 1), (T13, "other", "A", 1)]), NOW)
-        e.append("trades", rows(spark, [(T13, "dup", "second", 2), (T13 + HOUR, "next-hour", "A", 1)]), NOW)
+        for k in range(3):  # the same times and gauges three times, with other values
+            e.append("trades", rows(spark, [(T13 + hour * HOUR + minute * 60_000_000, gauge, "m", 100 * k) for n, hour, minute, gauge in readings if n == k]), NOW)
         done = e.flush()
-        assert (done.rows, done.deduplicated, done.files) == (3, 1, 2)
-        assert [p.rsplit("/", 1)[1] for p in published(e)] == ["0000000001-0000000002.e0.parquet"] * 2
-        assert e.table("trades").filter("id = 'dup'").first()["symbol"] == "first"
-        # A later flush is not compared with earlier ones.
-        e.append("trades", rows(spark, [(T13, "dup", "third", 3)]), NOW)
-        assert e.flush().rows == 1 and e.table("trades").filter("id = 'dup'").count() == 2
+        each = len(readings) // 3
+        assert (done.rows, done.deduplicated, done.files) == (each, 2 * each, 4)
+        assert {p.rsplit("/", 1)[1] for p in published(e)} == {store.output_name(1, 3, 0)} and len(published(e)) == 4
+        assert {r["size"] for r in e.table("trades").select("size").collect()} == {0}  # the first to arrive
+        # A later flush is not compared with earlier ones; its rows go to their old hours as other files.
+        e.append("trades", rows(spark, [(T13 + 5 * 60_000_000, "north", "m", 7), (T13 + 3 * HOUR, "late", "m", 7)]), NOW)
+        done = e.flush()
+        assert (done.rows, done.deduplicated, done.files) == (2, 0, 2) and len(published(e)) == 6
+        assert e.table("trades").filter("id = 'north' and minute(ts) = 5 and hour(ts) = 13").count() == 2
 
 
 def test_only_microseconds_are_taken(spark, tmp_path):
@@ -77,13 +81,25 @@ def test_faults_of_typed_appends(spark, tmp_path):
             e.append("trades", rows(spark, [(T13, "x", "A", 1)]).drop("size"), NOW)
         with pytest.raises(TypeMismatch):
             e.append("trades", rows(spark, [(T13, "x", "A", 1)]).withColumn("size", F.lit("1")), NOW)
-        with pytest.raises(TypeMismatch):
+        with pytest.raises(TypeMismatch, match="symbol"):
             e.append("trades", rows(spark, [(T13, "x", "A", 1), (T13, "y", None, 1)]), NOW)
         with pytest.raises(RecordTooLarge):
             e.append("trades", rows(spark, [(T13, "x" * 20_000, "A", 1)]), NOW)
+        with pytest.raises(FieldTooLong):
+            e.append("trades", rows(spark, [(T13, "x" * 70_000, "A", 1)]), NOW)
+        with pytest.raises(TsOutOfRange):  # three times and a type: one fault is raised, and counted
+            e.append("trades", rows(spark, [(1, "a", "A", 1), (2, "b", "A", 1), (3, "c", "A", 1), (T13, "d", None, 1)]), NOW)
+        assert (e.counts.rejected_ts, e.counts.rejected_size, e.counts.appended) == (1, 1, 0)
         assert e.append("trades", rows(spark, []), NOW) == 0 and not store.segments(e.files)
 
 
+def test_the_key_at_fault_is_named(spark, tmp_path):
+    with Engine(spark, config(tmp_path, SeriesSpec("s", (KeyDef("one", "i64"), KeyDef("two", "i64"), KeyDef("three", "i64", True))))) as e:
+        df = spark.createDataFrame([(T13, 1, 2, None), (T13, 1, None, 3)], "ts_us long, one long, two long, three long")
+        with pytest.raises(TypeMismatch, match="'two'"):
+            e.append("s", df, NOW)
+
+
 def raw(e, spark, data):
     from tidelake.model import RECORD
 
@@ -111,7 +127,7 @@ def test_raw_records_over_the_limit_are_rejected(spark, tmp_path):
     with Engine(spark, config(tmp_path)) as e:
         done = e.append_raw(raw(e, spark, [("trades", 0, T13, "x" * 20_000, key), ("trades", 0, T13, "good", key)]), NOW)
         assert (done.accepted, done.rejected) == (1, 1)
-        assert (e.counts.rejected_ts, e.counts.rejected_series, e.counts.rejected_frames) == (0, 0, 1)
+        assert (e.counts.rejected_ts, e.counts.rejected_size, e.counts.rejected_series, e.counts.rejected_frames) == (0, 1, 0, 1)
         assert e.flush().rows == 1
 
 
@@ -123,6 +139,128 @@ def test_reject_cap(spark, tmp_path):
         assert e.flush().rejected == 1 and not e.files.exists("rejects")
 
 
+def test_rejects_stay_below_their_cap(spark, tmp_path):
+    c = config(tmp_path)
+    c.limits.reject_max_bytes = 100
+    with Engine(spark, c) as e:
+        e.append_raw(raw(e, spark, [("trades", 0, T13, f"bad{i}", []) for i in range(50)]), NOW)
+        assert e.flush().rejected == 50 and spark.read.parquet(e.files.path("rejects")).count() == 100 // (8 + 22 + len("trades") + len("bad10"))
+
+
+def test_rejects_and_views_are_best_effort(spark, tmp_path):
+    with Engine(spark, config(tmp_path)) as e:
+        e.files.write("in the way", "rejects")
+        e.files.mkdirs("series", "trades", "view.sql", "in the way")
+        e.append_raw(raw(e, spark, [("trades", 0, T13, "bad", []), ("trades", 0, T13, "good", [{"tag": 4, "s": "A"}, {"tag": 0}])]), NOW)
+        done = e.flush()
+        assert done.committed and (done.rows, done.rejected, e.counts.flush_failures) == (1, 1, 0)
+
+
+def test_frames_of_clients(spark, tmp_path):
+    from tidelake.sources import encode_frame
+
+    frame = lambda ts, id_, keys, epoch=0, series="trades": encode_frame(ts, epoch, series, id_, keys, [("k", "v")], "d")
+    good = [frame(T13 + i, f"i{i}", ["A", i]) for i in range(4)]
+    broken = bytearray(frame(T13, "broken", ["A", 1]))
+    broken[12] ^= 1
+    inbox = tmp_path / "inbox"
+    inbox.mkdir()
+    (inbox / "a.bin").write_bytes(b"".join(good[:2]) + frame(5, "old", ["A", 1]) + frame(T13, "x", ["A", 1], 3) + frame(T13, "y", [], 0, "none"))
+    (inbox / "b.bin").write_bytes(good[2] + bytes(broken) + good[3])
+    (inbox / "c.bin").write_bytes(frame(T13, "z" * 17_000, ["A", 1]))
+    (inbox / "d.bin").write_bytes(good[3][:30])
+    with Engine(spark, config(tmp_path / "lake")) as e:
+        done = e.append_frames(str(inbox), NOW, source="client-1")
+        lost = len(broken) + len(good[3]) + len(frame(T13, "z" * 17_000, ["A", 1])) + 30
+        assert (done.accepted, done.rejected, done.discarded_bytes) == (3, 6, lost)
+        assert (e.counts.rejected_ts, e.counts.rejected_series, e.counts.rejected_frames) == (1, 2, 6)
+        assert e.append_frames(str(inbox), NOW, source="client-1").accepted == 0
+        assert e.flush().rows == 3 and e.table("trades").filter("extra['k'] = 'v' and data = 'd'").count() == 3
+
+
+def test_failures_are_counted_until_a_flush_succeeds(spark, tmp_path, monkeypatch):
+    with Engine(spark, config(tmp_path)) as e:
+        e.append("trades", rows(spark, [(T13, "a", "A", 1)]), NOW)
+        with monkeypatch.context() as m:
+            m.setattr(store, "stage", lambda *_: 1 / 0)
+            for _ in range(2):
+                with pytest.raises(ZeroDivisionError):
+                    e.flush()
+        assert e.stats()["flush_failures"] == 2 and e.stats()["segment"] == 2
+        assert e.flush().rows == 1 and e.stats()["flush_failures"] == 0
+
+
+def test_appends_do_not_wait_for_a_flush(spark, tmp_path, monkeypatch):
+    import threading
+
+    reached, go_on, stage = threading.Event(), threading.Event(), store.stage
+    with Engine(spark, config(tmp_path)) as e:
+        e.append("trades", rows(spark, [(T13, "a", "A", 1)]), NOW)
+        monkeypatch.setattr(store, "stage", lambda *a: reached.set() or go_on.wait(60) and stage(*a))
+        flush = threading.Thread(target=e.flush)
+        flush.start()
+        assert reached.wait(60)
+        assert e.append("trades", rows(spark, [(T13, "b", "A", 1)]), NOW) == 1 and flush.is_alive()
+        go_on.set()
+        flush.join(60)
+        assert e.table("trades").count() == 1 and e.flush().rows == 1
+
+
+def test_an_engine_that_lost_its_lock_commits_nothing(spark, tmp_path):
+    with Engine(spark, config(tmp_path)) as e:
+        e.append("trades", rows(spark, [(T13, "a", "A", 1)]), NOW)
+        other = store.Lock(e.files, force=True)
+        with pytest.raises(Locked):
+            e.flush()
+        assert e.manifest.load(e.files).last_flushed_segment == 0 and not published(e)
+        other.release()
+
+
+def test_only_one_of_many_takes_the_lock(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    from tidelake.files import Files
+
+    files = Files(spark, str(tmp_path))
+
+    def take(_):
+        try:
+            return store.Lock(files)
+        except Locked:
+            return None
+
+    with ThreadPoolExecutor(8) as pool:
+        held = [x for x in pool.map(take, range(8)) if x]
+    assert len(held) == 1
+    held[0].release()
+
+
+def test_flush_at_the_start_if_one_is_overdue(spark, tmp_path):
+    c = config(tmp_path)
+    with Engine(spark, c) as e:
+        e.append("trades", rows(spark, [(T13, "a", "A", 1)]), NOW)
+    c.flush.on_startup = True
+    with Engine(spark, c) as e:
+        assert e.counts.rows_flushed == 1 and e.table("trades").count() == 1
+        e.append("trades", rows(spark, [(T13, "b", "A", 1)]), NOW)
+    with Engine(spark, c) as e:  # the last flush is not an interval ago
+        assert e.counts.flushes == 0 and len(store.segments(e.files)) == 1
+
+
+def test_names_of_landed_batches_are_kept_once_each(spark, tmp_path):
+    key = [{"tag": 4, "s": "A"}, {"tag": 2, "i": 5}]
+    with Engine(spark, config(tmp_path)) as e:
+        for k in range(4):
+            for name in ("x", "y"):
+                assert e.append_raw(raw(e, spark, [("trades", 0, T13 + k, name, key)]), NOW, f"{name}-{k}").accepted == 1
+            if k % 2:
+                e.flush()
+        e.append_raw(raw(e, spark, [("trades", 0, T13, "z", key)]), NOW, "once")
+        assert e.files.names("sources") == ["x-3", "y-3"]
+    with Engine(spark, config(tmp_path)) as e:
+        assert [s in e.sources for s in ("x-0", "x-3", "x-4", "y-2", "once", "z-0")] == [True, True, False, True, True, False]
+
+
 def test_schema_epochs_and_views(spark, tmp_path):
     keys = lambda *k: SeriesSpec("trades", k)
     symbol, venue = KeyDef("symbol", "string", True), KeyDef("venue", "i64", True)
@@ -271,9 +409,10 @@ def test_stream_equals_batch_and_lands_once(spark, tmp_path):
     q.awaitTermination(120)
     assert e.counts.appended == 40
     again = parse_lines(spark.createDataFrame([(x,) for x in lines], "value string"), "trades", 0)[0]
-    assert e.append_raw(again, NOW, source="ingest-0").accepted == 0
+    (landed,) = e.sources.numbers
+    assert e.append_raw(again, NOW, source=f"{landed}-0").accepted == 0
     e.flush()
-    assert e.append_raw(again, NOW, source="ingest-0").accepted == 0
+    assert e.append_raw(again, NOW, source=f"{landed}-0").accepted == 0
     assert e.table("trades").count() == len({(i % 7, i % 5) for i in range(40)})
     e.close()
 
