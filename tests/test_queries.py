@@ -37,11 +37,10 @@ def test_query(spark, db, name):
     assert rows == plain(db.sql(f"select {', '.join(columns)} from ({ORACLE_SQL[name]})").fetchall())
 
 
-def test_rows_only_queries(spark):
+def test_every_query_has_sql_and_checksums_are_the_usual_ones(spark):
     import zlib
 
-    rows = QUERIES["crc32_data"](spark, DATA).collect()
-    assert rows and all(0 <= r["crc"] < 2**32 for r in rows)
+    assert set(QUERIES) == set(ORACLE_SQL)
     assert spark.sql("select crc32(cast('123456789' as binary)) c").first()["c"] == zlib.crc32(b"123456789") == 0xCBF43926
 
 

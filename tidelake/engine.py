@@ -249,9 +249,7 @@ class Engine:
     def _readable(self) -> list[int]:
         """Eligible segments in order; unreadable ones are set aside, or end the list if they cannot be."""
         found = []
-        for segment in store.segments(self.files):
-            if segment <= self.manifest.last_flushed_segment:
-                continue
+        for segment in store.eligible(store.segments(self.files), self.manifest.last_flushed_segment):
             try:
                 self.spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").parquet(self.files.path("wal", store.segment_name(segment))).schema
                 found.append(segment)

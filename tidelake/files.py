@@ -2,11 +2,23 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """Where all of a session's executors can read what others wrote: ``spark.checkpoint.dir``, or on one machine a temporary folder if that is not set."""
+    context = spark.sparkContext
+    if found := context.getConf().get("spark.checkpoint.dir"):
+        return found
+    if not context.master.startswith("local"):
+        raise ValueError("the session has no spark.checkpoint.dir: set it to a folder that the driver and all executors share")
+    return os.path.join(tempfile.gettempdir(), "tidelake-checkpoints")
+
+
 class Files:
     """Paths are relative to ``root``."""
 

@@ -2,16 +2,23 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import uuid
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .files import Files
-from .functions.records import canonical_extra, encoded_size, hour, micros, rfc3339, value_of
-from .model import RECORD, EpochSchema, KeyDef
+from . import store
+from .config import Config
+from .engine import Engine
+from .errors import LakeError
+from .files import Files, shared_folder
+from .functions.records import canonical_extra, encoded_size, hour, micros, rfc3339, text_of, value_of
+from .model import RECORD, EpochSchema, KeyDef, SeriesSpec
 from .operators.flush import deduplicate, sort_for_storage, to_storage
 from .operators.validate import LAST_US, WINDOW, accept_window, reject_reason, unit_of
 from .plans.view import coalesce_epochs, hour_bounds
@@ -21,6 +28,7 @@ from .sources.ndjson import classify
 TS_MIN, NOW, SKEW_MS = 1_704_499_200_000_000, 1_706_140_800_000_000, 86_400_000
 BOUNDS = WINDOW.at(NOW, TS_MIN, SKEW_MS)
 _NONE = "array<struct<k:string,v:string>>"
+_KEYS = "array<struct<tag:int,b:boolean,i:bigint,f:double,s:string>>"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
@@ -42,7 +50,7 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def records(e: DataFrame, keys: list[tuple[str, str]], id_: Column | str = "event_id", series: str = "events", epoch: Column | int = 0, extra: Column | None = None) -> DataFrame:
     """Events as records, with ``seg, off`` by event id."""
-    values = F.array(*[value_of(c, t) for c, t in keys]) if keys else F.array()
+    values = F.array(*[value_of(c, t) for c, t in keys]) if keys else F.array().cast(_KEYS)
     return e.select(
         F.lit(series).alias("series"), (F.lit(epoch) if isinstance(epoch, int) else epoch).alias("epoch"), "ts_us", (F.col(id_) if isinstance(id_, str) else id_).cast("string").alias("id"), values.alias("keys"),
         (F.array() if extra is None else extra).cast(_NONE).alias("extra"), F.col("props").alias("data"), (1 + F.floor(F.col("event_id") / 1000)).cast("bigint").alias("seg"), F.col("event_id").alias("off"),
@@ -138,10 +146,13 @@ def epoch_known(spark, sf_dir):
     return r.select(F.coalesce(reason, F.lit("known")).alias("verdict")).groupBy("verdict").agg(F.count("*").alias("n"))
 
 
-@_query("SELECT 1 + event_id // 1000 AS seg, count(*) AS n FROM events WHERE 1 + event_id // 1000 > 2 AND 1 + event_id // 1000 < 9 GROUP BY 1")
+@_query("WITH s AS (SELECT 1 + event_id // 1000 AS seg FROM events), m AS (SELECT max(seg) AS active FROM s) SELECT seg, count(*) AS n FROM s, m WHERE seg > active // 4 AND seg < active GROUP BY 1")
 def segment_eligible(spark, sf_dir):
-    floor_, active = 2, 9
-    return records(events(spark, sf_dir), []).filter((F.col("seg") > floor_) & (F.col("seg") < active)).groupBy("seg").agg(F.count("*").alias("n"))
+    """The last segment is being written, and the first quarter was flushed."""
+    rows = records(events(spark, sf_dir), [])
+    found = [r["seg"] for r in rows.select("seg").distinct().collect()]  # a number per segment
+    active = max(found, default=0)
+    return rows.filter(F.col("seg").isin(store.eligible(found, active // 4, active))).groupBy("seg").agg(F.count("*").alias("n"))
 
 
 @_query("SELECT strftime(ts, '%Y-%m-%dT%H') AS hour, count(*) AS n FROM events GROUP BY 1")
@@ -215,59 +226,131 @@ def merge_runs(spark, sf_dir):
     return sort_for_storage(to_storage(runs, KEYS)).select(F.col("off").alias("event_id"), F.unix_micros("ts").alias("ts_us"), "id", "value")
 
 
+_DECODED = f"SELECT count(*) FROM ({_COLLIDING})"
+_GOOD = f"SELECT * FROM ({_COLLIDING}) WHERE event_id % 10 <> 0"
+_WRITTEN = f"SELECT count(*) FROM (SELECT DISTINCT ts_us, id FROM ({_GOOD}))"
+
+
+def _lake(spark: SparkSession) -> str:
+    """A new directory in the session's shared folder; it goes when the driver ends, as results are read from it later."""
+    path = f"{shared_folder(spark)}/lake-{uuid.uuid4().hex}"
+    atexit.register(_drop, spark, path)
+    return path
+
+
+def _drop(spark: SparkSession, path: str) -> None:
+    if spark.sparkContext._jsc is not None:  # not stopped
+        with contextlib.suppress(Exception):  # the session may be gone, and with it the way to its files
+            Files(spark, path).delete()
+
+
+def _engine(spark, *series, at: str | None = None, **flush):
+    config = Config(data_dir=at or _lake(spark), series=[SeriesSpec(name, keys) for name, keys in series])
+    config.flush.on_startup = False
+    for name, value in flush.items():
+        setattr(config.flush, name, value)
+    return Engine(spark, config)
+
+
+#: Queries on real files cut times to a quarter of a day, which is an hour in which all its rows are.
+_QUARTER = "time_bucket(INTERVAL 6 HOURS, ts, TIMESTAMP '2000-01-01')"
+LATER = NOW + 10**13
+
+
+def _quarters(e: DataFrame) -> DataFrame:
+    return e.withColumn("ts_us", F.col("ts_us") - F.col("ts_us") % 21_600_000_000)
+
+
+def _files(engine: Engine, name: str) -> DataFrame:
+    """Rows of the published files of a series, with the ``hour`` of their directory, ``first, last, epoch`` of their name, and their place in the file."""
+
+    @F.pandas_udf("first long, last long, epoch long")
+    def named(names: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([store.parse_output(n) for n in names], columns=["first", "last", "epoch"])
+
+    rows = engine.spark.read.parquet(engine.files.path("series", name))
+    return rows.select("ts", "id", "hour", "_metadata.file_name", "_metadata.row_index").withColumn("named", named("file_name")).select("*", "named.*").drop("named")
+
+
 @_query(
-    f"""WITH r AS (SELECT *, (row_number() OVER (PARTITION BY hour ORDER BY ts, id) - 1) // 8 AS row_group FROM ({_RECORDS_BY_USER}))
-SELECT hour, row_group, count(*) AS n, epoch_us(min(ts)) AS first_us, epoch_us(max(ts)) AS last_us FROM r GROUP BY 1, 2"""
+    f"""WITH r AS (SELECT {_QUARTER} AS ts, event_id, (row_number() OVER (PARTITION BY {_QUARTER} ORDER BY CAST(event_id AS VARCHAR)) - 1) // 8 AS row_group FROM events)
+SELECT strftime(ts, '%Y-%m-%dT%H') AS hour, row_group, count(*) AS n, min(CAST(event_id AS VARCHAR)) AS first_id, max(CAST(event_id AS VARCHAR)) AS last_id FROM r GROUP BY 1, 2"""
 )
 def row_group_stats(spark, sf_dir):
-    rows = sort_for_storage(to_storage(records(events(spark, sf_dir), [], id_="user_id"), ()))
-    at = F.floor((F.row_number().over(Window.partitionBy("hour").orderBy("ts", "id")) - 1) / 8)
-    return rows.withColumn("row_group", at).groupBy("hour", "row_group").agg(F.count("*").alias("n"), F.unix_micros(F.min("ts")).alias("first_us"), F.unix_micros(F.max("ts")).alias("last_us"))
+    """Groups of eight rows of the files that a flush wrote, by their places in them."""
+    with _engine(spark, ("events", ()), row_group_rows=8) as engine:
+        engine.append_raw(records(_quarters(events(spark, sf_dir)), []), LATER)
+        engine.flush()
+        rows = _files(engine, "events").withColumn("row_group", F.floor(F.col("row_index") / 8))
+        return rows.groupBy("hour", "row_group").agg(F.count("*").alias("n"), F.min("id").alias("first_id"), F.max("id").alias("last_id"))
 
 
-@_query("SELECT CASE WHEN event_id % 2 = 0 THEN 'even' ELSE 'odd' END AS series, event_id // 2 % 2 AS epoch, strftime(ts, '%Y-%m-%dT%H') AS hour, count(*) AS n FROM events GROUP BY 1, 2, 3")
+@_query(f"SELECT CASE WHEN event_id % 2 = 0 THEN 'even' ELSE 'odd' END AS series, event_id // 2 % 2 AS epoch, strftime({_QUARTER}, '%Y-%m-%dT%H') AS hour, count(*) AS n FROM events GROUP BY 1, 2, 3")
 def hour_split_files(spark, sf_dir):
-    r = records(events(spark, sf_dir), [], epoch=(F.floor(F.col("event_id") / 2) % 2).cast("int")).withColumn("series", F.when(F.col("off") % 2 == 0, "even").otherwise("odd"))
-    return r.groupBy("series", F.col("epoch").cast("bigint").alias("epoch"), hour("ts_us").alias("hour")).agg(F.count("*").alias("n"))
-
-
-_DECODED = f"SELECT count(*) FROM ({_COLLIDING})"
-_GOOD = f"SELECT * FROM ({_COLLIDING}) WHERE event_id % 10 <> 0"
-_WRITTEN = f"SELECT count(*) FROM (SELECT DISTINCT ts_us, id FROM ({_GOOD}))"
+    """One flush of two series in two epochs each: every hour of each has its own file."""
+    path = _lake(spark)
+    _engine(spark, ("even", ()), ("odd", ()), at=path).close()
+    with _engine(spark, ("even", KEYS[1:]), ("odd", KEYS[1:]), at=path) as engine:  # a new key: epoch 1
+        second = F.floor(F.col("event_id") / 2) % 2 == 1
+        r = records(_quarters(events(spark, sf_dir)), [("value", "f64")], epoch=second.cast("int"))
+        r = r.withColumn("keys", F.when(F.col("epoch") == 1, F.col("keys")).otherwise(F.slice("keys", 1, 0))).withColumn("series", F.when(F.col("off") % 2 == 0, "even").otherwise("odd"))
+        engine.append_raw(r, LATER)
+        engine.flush()
+        each = [_files(engine, name).groupBy("epoch", "hour").agg(F.count("*").alias("n")).select(F.lit(name).alias("series"), "epoch", "hour", "n") for name in ("even", "odd")]
+        return each[0].union(each[1])
 
 
 @_query(f"SELECT ({_WRITTEN}) AS written, (SELECT count(*) FROM ({_GOOD})) - ({_WRITTEN}) AS deduplicated, ({_DECODED}) - (SELECT count(*) FROM ({_GOOD})) AS rejected")
 def flush_outcome(spark, sf_dir):
-    r = _colliding(spark, sf_dir)
-    r = r.withColumn("keys", F.when(F.col("off") % 10 == 0, F.reverse("keys")).otherwise(F.col("keys")))
-    judged = r.withColumn("reason", reject_reason({("events", 0): KEYS}, strict=False))
-    order = F.row_number().over(Window.partitionBy("series", "epoch", "ts_us", "id", F.col("reason").isNull()).orderBy("seg", "off"))
-    counted = judged.withColumn("rn", order)
-    good = F.col("reason").isNull()
-    return counted.agg(F.count(F.when(good & (F.col("rn") == 1), 1)).alias("written"), F.count(F.when(good & (F.col("rn") > 1), 1)).alias("deduplicated"), F.count("reason").alias("rejected"))
+    """What a flush says of itself: every tenth record has its keys in the wrong order."""
+    with _engine(spark, ("events", KEYS)) as engine:
+        r = _colliding(spark, sf_dir)
+        engine.append_raw(r.withColumn("keys", F.when(F.col("off") % 10 == 0, F.reverse("keys")).otherwise(F.col("keys"))), LATER)
+        done = engine.flush()
+        return spark.createDataFrame([(done.rows, done.deduplicated, done.rejected)], "written long, deduplicated long, rejected long")
 
 
-def _lake(spark: SparkSession) -> str:
-    """A new directory in the session's shared folder."""
-    from pyspark.errors import PySparkException
+_SIZE = "30 + 4 + octet_length(encode(CAST(doc_id AS VARCHAR))) + octet_length(encode(text))"
 
-    context = spark.sparkContext
-    shared = context.getConf().get("spark.checkpoint.dir") or "/tmp"
-    try:
-        Files(spark, shared).mkdirs("")
-    except PySparkException:
-        shared = "/tmp"
-    return f"{shared}/lake-{uuid.uuid4().hex}"
 
+@_query(f"SELECT count(*) FILTER ({_SIZE} <= 4096) AS accepted, count(*) FILTER ({_SIZE} > 4096) AS rejected, count(*) FILTER ({_SIZE} <= 4096) AS flushed FROM documents")
+def raw_size_limit(spark, sf_dir):
+    """Raw records over the limit are counted and left out."""
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    r = d.select(F.lit("docs").alias("series"), F.lit(0).alias("epoch"), F.lit(NOW).alias("ts_us"), F.col("doc_id").cast("string").alias("id"), F.array().cast(_KEYS).alias("keys"), F.array().cast(_NONE).alias("extra"), F.col("text").alias("data"))
+    config = Config(data_dir=_lake(spark), series=[SeriesSpec("docs")])
+    config.flush.on_startup, config.limits.max_record_bytes = False, 4096
+    with Engine(spark, config) as engine:
+        done = engine.append_raw(r, LATER)
+        return spark.createDataFrame([(done.accepted, engine.counts.rejected_size, engine.flush().rows)], "accepted long, rejected long, flushed long")
 
-def _engine(spark, *series):
-    from .config import Config
-    from .engine import Engine
-    from .model import SeriesSpec
 
-    config = Config(data_dir=_lake(spark), series=[SeriesSpec(name, keys) for name, keys in series])
-    config.flush.on_startup = False
-    return Engine(spark, config)
+@_query(
+    f"""SELECT 'time' AS fault, 'TsOutOfRange' AS raised, 1 AS rejected_ts, 0 AS rejected_size, 0 AS appended UNION ALL SELECT 'type', 'TypeMismatch value', 0, 0, 0 UNION ALL SELECT 'size', 'RecordTooLarge', 0, 1, 0
+UNION ALL SELECT 'none', '', 0, 0, count(*) FROM events"""
+)
+def append_faults(spark, sf_dir):
+    """Of typed appends with one bad row all rows are refused, the fault is named and counted once."""
+    e = events(spark, sf_dir).select("ts_us", F.col("event_id").cast("string").alias("id"), "event_type", "value", F.col("props").alias("data"))
+    keys = (KeyDef("event_type", "string"), KeyDef("value", "f64"))
+    last = F.col("id") == "0"
+    faults = {"time": e.withColumn("ts_us", F.when(last, 5).otherwise(F.col("ts_us"))), "type": e.withColumn("value", F.when(~last, F.col("value"))), "size": e.withColumn("data", F.when(last, F.repeat(F.lit("x"), F.lit(20_000))).otherwise(F.col("data"))), "none": e}
+    found = []
+    for fault, rows in faults.items():
+        with _engine(spark, ("events", keys)) as engine:
+            raised = ""
+            try:
+                engine.append("events", rows, LATER)
+            except LakeError as error:
+                raised = type(error).__name__ + (" value" if "'value'" in str(error) else "")
+            found.append((fault, raised, engine.counts.rejected_ts, engine.counts.rejected_size, engine.counts.appended))
+    return spark.createDataFrame(found, "fault string, raised string, rejected_ts int, rejected_size int, appended long")
+
+
+@_query("SELECT event_id, CAST(epoch_us(ts) AS VARCHAR) AS ts, CAST(event_id AS VARCHAR) AS i, CASE WHEN value / 4 = floor(value / 4) THEN CAST(CAST(value / 4 AS BIGINT) AS VARCHAR) ELSE CAST(value / 4 AS VARCHAR) END AS f, CASE WHEN event_id % 2 = 0 THEN 'true' ELSE 'false' END AS b FROM events")
+def render_text(spark, sf_dir):
+    e = events(spark, sf_dir)
+    return e.select("event_id", text_of("ts", "ts").alias("ts"), text_of("event_id", "i64").alias("i"), text_of(F.col("value") / 4, "f64").alias("f"), text_of(F.col("event_id") % 2 == 0, "bool").alias("b"))
 
 
 @_query(_first("ts_us, id").replace("event_id, ts_us, id, value", "ts_us, id, value"))
@@ -355,11 +438,15 @@ def reader_summary(spark, sf_dir):
     return _summary(to_storage(records(events(spark, sf_dir), []), ()))
 
 
-@_query("SELECT strftime(ts, '%Y-%m-%dT%H') AS hour, count(DISTINCT CASE WHEN event_id % 50 = 0 THEN 1 ELSE 0 END) AS files, count(*) AS n FROM events GROUP BY 1")
+@_query(f"SELECT strftime({_QUARTER}, '%Y-%m-%dT%H') AS hour, count(DISTINCT CASE WHEN event_id % 50 = 0 THEN 1 ELSE 0 END) AS files, count(*) AS n FROM events GROUP BY 1")
 def late_data_hours(spark, sf_dir):
     """Every fiftieth event arrives with a later flush, and goes to its own old hour as another file."""
-    r = records(events(spark, sf_dir), []).withColumn("flush", F.when(F.col("off") % 50 == 0, 1).otherwise(0))
-    return r.groupBy(hour("ts_us").alias("hour")).agg(F.countDistinct("flush").alias("files"), F.count("*").alias("n"))
+    with _engine(spark, ("events", ())) as engine:
+        r = records(_quarters(events(spark, sf_dir)), [])
+        for late in (False, True):
+            engine.append_raw(r.filter((F.col("off") % 50 == 0) == late), LATER)
+            engine.flush()
+        return _files(engine, "events").groupBy("hour").agg(F.countDistinct("file_name").alias("files"), F.count("*").alias("n"))
 
 
 _NAMES = """SELECT event_id, CASE event_id % 5 WHEN 0 THEN lpad(CAST(event_id AS VARCHAR), 10, '0') || '-' || lpad(CAST(event_id + 2 AS VARCHAR), 10, '0') || '.e' || CAST(event_id % 3 AS VARCHAR) || '.parquet'
@@ -380,11 +467,12 @@ def sweep_classify(spark, sf_dir):
         .when(n % 5 == 3, F.concat(F.lit("part-"), n.cast("string"), F.lit(".parquet")))
         .otherwise(F.concat(F.lit("1"), pad(n), F.lit("-1"), pad(n), F.lit(".e12.parquet")))
     )
-    id_ = r"(\d{10}|[1-9]\d{10,})"
-    pattern = rf"^{id_}-{id_}\.e(\d+)(-\d+)?\.parquet$"
-    last = F.regexp_extract("name", pattern, 2)
-    verdict = F.when(~F.col("name").rlike(pattern), "foreign").when(last.try_cast("bigint") <= 500, "committed").otherwise("uncommitted")
-    return events(spark, sf_dir).select("event_id", name.alias("name")).select("event_id", "name", verdict.alias("verdict"))
+
+    @F.pandas_udf("string")
+    def verdict(names: pd.Series) -> pd.Series:
+        return names.map(lambda x: store.classify(x, 500))
+
+    return events(spark, sf_dir).select("event_id", name.alias("name")).select("event_id", "name", verdict("name").alias("verdict"))
 
 
 @_query(
@@ -413,7 +501,11 @@ def streaming_flush(spark, sf_dir):
         return engine.table("even").union(engine.table("odd")).select(F.unix_micros("ts").alias("ts_us"), "id", "value")
 
 
-@_query(None)
+@_query(
+    """WITH c AS (SELECT event_id, list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, length(props) + 1), lambda i : ascii(props[i])::BIGINT)),
+lambda c, x : list_reduce(list_prepend(xor(c, x), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda a, b : CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END)) AS c FROM events)
+SELECT event_id, xor(c, 4294967295) AS crc FROM c"""
+)
 def crc32_data(spark, sf_dir):
     return events(spark, sf_dir).select("event_id", F.crc32(F.col("props").cast("binary")).alias("crc"))
 
