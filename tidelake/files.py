@@ -25,17 +25,18 @@ class Files:
     def __init__(self, spark: SparkSession, root: str):
         self.jvm = spark.sparkContext._jvm
         self.conf = spark.sparkContext._jsc.hadoopConfiguration()
-        self.fs = self.jvm.org.apache.hadoop.fs.Path(root).getFileSystem(self.conf)
+        self.to_path = self.jvm.org.apache.hadoop.fs.Path  # looked up once: that takes several calls
+        self.fs = self.to_path(root).getFileSystem(self.conf)
         self.fs.setVerifyChecksum(False)
         self.fs.setWriteChecksum(False)
-        self.root = self.fs.makeQualified(self.jvm.org.apache.hadoop.fs.Path(root)).toString()
+        self.root = self.fs.makeQualified(self.to_path(root)).toString()
 
     def path(self, *parts: str) -> str:
         return "/".join([self.root, *[p for p in parts if p]])
 
     def _at(self, *parts: str):
         # Built from a URI with a quoted path, so that names keep their characters.
-        return self.jvm.org.apache.hadoop.fs.Path(self.path(*parts))
+        return self.to_path(self.path(*parts))
 
     def exists(self, *parts: str) -> bool:
         return self.fs.exists(self._at(*parts))
