@@ -21,7 +21,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import lean
+from .common import in_arrow, kept, pieces
 
 #: Texts of these characters alone are split by a plainer pattern with the same matches.
 _PLAIN = re.compile(r"[\t\n\v\f\r -~À-ÖØ-öø-ɏ]*")
@@ -181,8 +181,6 @@ class Codec:
 #: Fixed value: the pattern for which the plainer one stands in.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
-_codecs: dict[tuple[int, str], Codec] = {}
-
 ENCODED = T.StructType([T.StructField("n_tokens", T.LongType(), False), T.StructField("ids", T.BinaryType(), False), T.StructField("decoded", T.BinaryType(), False)])
 
 
@@ -197,18 +195,15 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str = PATTERN, i
     with open(ranks_path, "rb") as f:
         data = f.read()
     shared = docs.sparkSession.sparkContext.broadcast(data)  # the vocabulary file, of fixed size
-    key = (hash(data), pattern)
+    key = ("codec", hash(data), pattern)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if key not in _codecs:
-            _codecs.clear()
-            _codecs[key] = Codec(read_ranks(shared.value), pattern)
-        codec = _codecs[key]
-        for batch in batches:
+        codec = kept(key, lambda: Codec(read_ranks(shared.value), pattern))
+        for batch in pieces(batches):
             ids = [codec.encode(text or "") for text in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary()), pa.array(map(codec.decode, ids), pa.binary())], names=[id_col, "n_tokens", "ids", "decoded"]
             )
 
-    slim = lean(docs, id_col, text_col, rows=64)
-    return slim.mapInArrow(run, T.StructType([slim.schema[id_col], *ENCODED.fields]))
+    slim = docs.select(id_col, text_col)
+    return in_arrow(slim, run, T.StructType([slim.schema[id_col], *ENCODED.fields]))

@@ -18,7 +18,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, lean
+from .common import held_out, in_arrow, pieces
 
 #: Characters of an n-gram, hash functions of a filter, and filter bits for each n-gram held.
 ORDERS, HASHES, BITS_PER_GRAM = (2, 3, 4), 2, 10
@@ -119,12 +119,13 @@ def train(labelled: DataFrame, lang_col: str, text_col: str, id_col: str, sample
     per = {r[0]: r[1] for r in known.groupBy(F.col(lang_col).cast("string")).count().collect()}  # a row per language
     if not per:
         return Filters([], np.zeros((1024, 1), np.uint8), np.zeros(0), "und")
+    alone = [lang for lang, n in per.items() if n < MIN_DOCS]  # what a language of one document has counts
     share = F.create_map(*[F.lit(x) for lang, n in per.items() for x in (lang, min(1.0, sample_docs / n))])[F.col(lang_col).cast("string")]
     drawn = F.pmod(F.xxhash64(F.lit(5), text_col, id_col), F.lit(1 << 20)) < share * (1 << 20)
-    sample = lean(known.filter(drawn).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text")), "lang", "text")
+    sample = known.filter(drawn).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             by: dict[str, list[np.ndarray]] = {}
             docs: dict[str, int] = {}
             for lang, text in zip(*[c.to_pylist() for c in batch.columns], strict=True):
@@ -138,7 +139,7 @@ def train(labelled: DataFrame, lang_col: str, text_col: str, id_col: str, sample
                     yield pa.RecordBatch.from_arrays([pa.array([lang] * len(part)), pa.array(part), pa.array(n[at : at + 50_000].astype(np.int64))], names=["lang", "gram", "n"])
                 yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([None], pa.int64()), pa.array([docs[lang]], pa.int64())], names=["lang", "gram", "n"])
 
-    counted = sample.mapInArrow(run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).filter((F.col("n") >= MIN_DOCS) | F.col("gram").isNull())
+    counted = in_arrow(sample, run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).filter((F.col("n") >= MIN_DOCS) | F.col("lang").isin(alone) | F.col("gram").isNull())
     table = counted.toArrow()  # n-grams of a bounded sample
     langs, values, n = np.array(table["lang"].to_pylist(), object), table["gram"], table["n"].to_numpy()
     is_total = np.asarray(values.is_null())
@@ -166,12 +167,12 @@ def identify(docs: DataFrame, filters: Filters, id_col: str = "doc_id", text_col
     shared = docs.sparkSession.sparkContext.broadcast(filters)  # n-grams of a bounded sample
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             found = [shared.value.predict(t) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], names=[id_col, "lang_pred", "score"])
 
-    slim = lean(docs, id_col, text_col)
-    return slim.mapInArrow(run, slim.select(id_col).schema.add("lang_pred", "string").add("score", "double"))
+    slim = docs.select(id_col, text_col)
+    return in_arrow(slim, run, slim.select(id_col).schema.add("lang_pred", "string").add("score", "double"))
 
 
 def train_and_identify(docs: DataFrame, modulus: int = 4, remainder: int = 2, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:

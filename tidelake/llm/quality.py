@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, lean, materialise
+from .common import held_out, in_arrow, materialise, pieces
 
 #: Shares of the pooled covariance and of the identity in each class's covariance.
 POOLED, RIDGE = 0.1, 0.02
@@ -81,12 +81,12 @@ def document_statistics(docs: DataFrame, id_col: str, text_col: str) -> DataFram
     """``id_col, x`` with the statistics of each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             x = [statistics(t) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(x, pa.list_(pa.float64()))], names=[id_col, "x"])
 
-    slim = lean(docs, id_col, text_col)
-    return slim.mapInArrow(run, f"`{id_col}` {dict(slim.dtypes)[id_col]}, x array<double>")
+    slim = docs.select(id_col, text_col)
+    return in_arrow(slim, run, f"`{id_col}` {dict(slim.dtypes)[id_col]}, x array<double>")
 
 
 @dataclass
@@ -141,7 +141,7 @@ def fit(labelled: DataFrame) -> Discriminant:
                     total[c] += np.concatenate([[len(own)], own.sum(0), (own.T @ own).ravel()])
         yield pa.RecordBatch.from_arrays([pa.array([0, 1]), pa.array(total.tolist(), pa.list_(pa.float64()))], names=["label", "moments"])
 
-    parts = labelled.select("x", F.col("label").cast("int").alias("label")).mapInArrow(run, "label long, moments array<double>")
+    parts = in_arrow(labelled.select("x", F.col("label").cast("int").alias("label")), run, "label long, moments array<double>")
     rows = parts.select("label", F.posexplode("moments")).groupBy("label", "pos").agg(F.sum("col").alias("v")).collect()  # as many as moments
     m = np.zeros((2, 1 + d + d * d))
     for r in rows:
@@ -167,5 +167,5 @@ def score_quality(docs: DataFrame, labels: DataFrame, modulus: int = 5, remainde
             rows = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, len(STATISTICS))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(shared.value.scores(rows))], names=[id_col, "score"])
 
-    scored = x.mapInArrow(run, x.select(id_col).schema.add("score", "double"))
+    scored = in_arrow(x, run, x.select(id_col).schema.add("score", "double"))
     return scored.select(id_col, held_out(modulus, remainder, id_col).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

@@ -28,7 +28,7 @@ MAX_PARTS = 20_000
 
 
 def hypergeometric(rng: random.Random, good: int, bad: int, draws: int) -> int:
-    """How many of ``draws`` draws without replacement are good; exact inversion that starts at the mode."""
+    """How many of ``draws`` draws without replacement are good: inversion of the law, in double precision, from the mode outwards."""
     low, high = max(0, draws - bad), min(draws, good)
     if low == high:
         return low

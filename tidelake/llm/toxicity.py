@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, lean
+from .common import held_out, in_arrow, kept, pieces
 
 #: Words of a window, words from one window to the next, characters of a word; longer ones are read as several.
 WINDOW, STRIDE, LETTERS = 32, 16, 16
@@ -324,7 +324,7 @@ def train(texts: list[str], toxic: list[int], epochs: int = EPOCHS, seed: int =
     vocabulary = [w for w, k in sorted(both.items(), key=lambda x: (-x[1], x[0])) if k >= 3][:VOCABULARY]
     network = Network(vocabulary, seed)
     parts = [windows_of(w) for w, _ in docs]
-    worst = [max(range(len(p)), key=lambda i, p=p: sum(hint[w] ** 2 for w in set(p[i]))) for p in parts]
+    worst = [max(range(len(p)), key=lambda i, p=p: sum(hint[w] ** 2 for w in sorted(set(p[i])))) for p in parts]
     moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in network.p.items()}
     step, weight = 0, np.where(y == 1, len(y) / (2 * n[1]), len(y) / (2 * n[0]))
     least = max(epochs * len(docs) // BATCH, 200)  # small samples are gone through more often
@@ -375,27 +375,27 @@ def _calibrate(network: Network, logits: np.ndarray, y: np.ndarray) -> None:
 
 
 def train_on(docs: DataFrame, labels: DataFrame, modulus: int = 3, remainder: int = 1, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: tuple[int, int] = (SAMPLE_CLEAN, SAMPLE_TOXIC)) -> Network | None:
-    """A network from about ``sample`` labelled documents, clean and toxic, that are not held out."""
-    known = labels.filter(F.col(label_col).isin(0, 1) & ~held_out(modulus, remainder, id_col)).select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_label"))
+    """A network from about ``sample`` labelled documents, clean and toxic, that are not held out.
+
+    At most twice as many are taken however often ids repeat. Null labels and
+    labels other than 0 and 1 are left out, and so are null ids and texts; without both labels there is none.
+    """
+    known = labels.filter(F.col(label_col).isin(0, 1) & ~held_out(modulus, remainder, id_col)).select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_label")).distinct()
     counts = {r[0]: r[1] for r in known.groupBy("_label").count().collect()}  # two rows
     share = F.when(F.col("_label") == 1, min(1.0, sample[1] / max(1, counts.get(1, 0)))).otherwise(min(1.0, sample[0] / max(1, counts.get(0, 0))))
-    drawn = known.filter(F.pmod(F.xxhash64(F.lit(9), "_id"), F.lit(1 << 20)) < share * (1 << 20))
-    rows = docs.filter(F.length(text_col) <= SAMPLE_CHARS).join(F.broadcast(drawn), F.col(id_col) == F.col("_id")).select("_id", "_label", F.col(text_col).alias("_text"))
+    most = 2 * sum(sample)  # twice what is expected, as ids can repeat
+    drawn = known.filter(F.pmod(F.xxhash64(F.lit(9), "_id"), F.lit(1 << 20)) < share * (1 << 20)).orderBy(F.xxhash64("_id"), "_label").limit(most)
+    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).filter(F.length("_text") <= SAMPLE_CHARS)
+    rows = texts.join(F.broadcast(drawn), "_id").orderBy(F.xxhash64("_id", "_text"), "_label").limit(most).select("_id", "_label", "_text")
     table = sorted(zip(*[c.to_pylist() for c in rows.toArrow().columns], strict=True))  # the bounded sample
     return train([r[2] for r in table], [r[1] for r in table])
 
 
-_scorers: dict[str, Scorer] = {}
-
-
 def _scorer(shared) -> Scorer | None:
     if shared.value is None:
         return None
     key, network = shared.value
-    if key not in _scorers:
-        _scorers.clear()
-        _scorers[key] = Scorer(network)
-    return _scorers[key]
+    return kept(("scorer", key), lambda: Scorer(network))
 
 
 def _share(docs: DataFrame, network: Network | None):
@@ -413,12 +413,12 @@ def score_toxicity(docs: DataFrame, network: Network | None, threshold: float =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = _scorer(shared)
-        for batch in batches:
+        for batch in pieces(batches):
             scores = scorer.scores(batch.column(1).to_pylist()) if scorer else np.zeros(batch.num_rows)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores), pa.array((scores >= threshold).astype(np.int32))], names=[id_col, "score", "predicted"])
 
-    slim = lean(docs, id_col, text_col)
-    return slim.mapInArrow(run, slim.select(id_col).schema.add("score", "double").add("predicted", "integer"))
+    slim = docs.select(id_col, text_col)
+    return in_arrow(slim, run, slim.select(id_col).schema.add("score", "double").add("predicted", "integer"))
 
 
 def drop_toxic(docs: DataFrame, network: Network | None, threshold: float = 0.7, text_col: str = "text") -> DataFrame:
@@ -427,10 +427,10 @@ def drop_toxic(docs: DataFrame, network: Network | None, threshold: float = 0.7,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = _scorer(shared)
-        for batch in batches:
+        for batch in pieces(batches):
             yield batch.filter(pa.array(scorer.scores(batch.column(at).to_pylist()) < threshold)) if scorer and batch.num_rows else batch
 
-    return lean(docs, *[f"`{c}`" for c in docs.columns]).mapInArrow(run, docs.schema)
+    return in_arrow(docs, run, docs.schema)
 
 
 def train_and_score(docs: DataFrame, labels: DataFrame, modulus: int = 3, remainder: int = 1, threshold: float = 0.7, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
