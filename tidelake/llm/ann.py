@@ -4,9 +4,13 @@ Every tree splits space by hyperplanes, each halfway between two sampled
 vectors. The trees are fitted on a bounded sample and are all that is sent to
 the tasks; every row is then put into one leaf of each tree. A query searches
 all trees through one shared priority queue, which opens the half-space whose
-boundary is nearest next, until the opened leaves hold a share of the sample. Its
-candidates are all rows of those leaves; they meet it there, are ranked by exact
-cosine, and the best of all leaves are kept.
+boundary is nearest next. Its candidates are all rows of the opened leaves; they
+meet it there, are ranked by exact cosine, and the best of all leaves are kept.
+
+How far the queue is followed is measured and not set: vectors of the sample are
+searched for in the sample, and the search goes on until TARGET of their true
+neighbours are found. Data with structure need few leaves for that; neighbours
+in a larger table are nearer than in the sample, so no fewer are found there.
 """
 
 from __future__ import annotations
@@ -21,14 +25,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import materialise
+from .common import in_arrow, materialise, pieces
 
-#: Vectors that the trees are fitted on at most; rows of the sample in a leaf at most; trees.
-SAMPLE, LEAF, TREES = 20_000, 128, 6
-#: A search stops when its leaves hold this share of the sample, and this many of it at least.
-SHARE, LEAST = 0.15, 6_000
-#: Index rows of a leaf in one group: a larger leaf is split, and its queries are sent to each part.
+#: Vectors that the trees are fitted on, about; rows of the sample in a leaf at most; trees.
+SAMPLE, LEAF, TREES = 20_000, 128, 10
+#: Share of the true neighbours of PROBES vectors of the sample that a search must find.
+TARGET, PROBES = 0.96, 300
+#: Index rows of a leaf in one group, about: a larger leaf is split, and its queries are sent to each part.
 GROUP = 4096
+#: Queries that are compared with a group at a time.
+BLOCK = 64
 
 
 @dataclass
@@ -81,8 +87,8 @@ class Tree:
         return -at - 1
 
 
-def search(forest: list[Tree], query: np.ndarray, want: int) -> list[tuple[int, int]]:
-    """(tree, leaf) in the order of the shared queue, until the leaves hold ``want`` of the sample."""
+def search(forest: list[Tree], query: np.ndarray, want: float) -> list[tuple[int, int]]:
+    """(tree, leaf) in the order of the shared queue, until the leaves hold ``want`` of the sample, copies in several trees counted."""
     margins = [tree.normals @ query for tree in forest]
     queue = [(-np.inf, t, 0) for t in range(len(forest))]
     found, held = [], 0
@@ -101,6 +107,21 @@ def search(forest: list[Tree], query: np.ndarray, want: int) -> list[tuple[int,
     return found
 
 
+def calibrate(forest: list[Tree], x: np.ndarray, k: int, rng: np.random.Generator, target: float = TARGET, probes: int = PROBES) -> float:
+    """How much of the sample ``x`` the leaves of a search must hold to find ``target`` of the ``k`` nearest of its vectors."""
+    asked = rng.choice(len(x), min(probes, len(x)), replace=False)
+    leaves = np.stack([tree.leaves(x) for tree in forest])
+    needed = []
+    for i in asked:
+        near = x @ x[i]
+        near[i] = -np.inf
+        true = np.argsort(-near, kind="stable")[: min(k, len(x) - 1)]
+        opened = search(forest, x[i], np.inf)
+        held = dict(zip(opened, np.cumsum([forest[t].sizes[leaf] for t, leaf in opened]).tolist(), strict=True))
+        needed += [min(held[t, leaves[t, j]] for t in range(len(forest))) for j in true.tolist()]
+    return float(np.quantile(needed, target, method="higher")) if needed else 1.0
+
+
 def _usable(vector: str) -> Column:
     """Neither null nor zero, and all components are finite numbers."""
     v = F.col(vector).cast("array<double>")
@@ -113,47 +134,55 @@ def _top(rows: DataFrame, k: int) -> DataFrame:
     return rows.withColumn("_rank", F.row_number().over(order)).filter(F.col("_rank") <= k).drop("_rank")
 
 
-def _matches(k: int):
-    """For sorted rows of (leaf group, is query, class, vector): the k best of the group for each query in it."""
-
-    def best(queries: list, rows: list) -> Iterator[dict]:
-        if not queries or not rows:
-            return
-        x = np.array([r[1] for r in rows])
-        norms = np.sqrt((x * x).sum(1))
-        unit = x / norms[:, None]
-        take = min(len(rows), k + 8)
-        for name, vector in queries:
-            q = np.array(vector)
-            rough = unit @ q
-            some = np.argpartition(-rough, take - 1)[:take] if take < len(rows) else np.arange(len(rows))
-            # All that may be among the k best: rounding differs by far less than this.
-            floor = np.sort(rough[some])[::-1][min(k, take) - 1] - 1e-9 * np.abs(rough[some]).max()
-            some = np.flatnonzero(rough >= floor)
-            exact = (x[some] * q).sum(1) / (norms[some] * np.sqrt((q * q).sum()))
-            order = sorted(range(len(some)), key=lambda i: (-exact[i], rows[some[i]][0]))[:k]
-            for i in order:
-                yield {"query": name, "class": rows[some[i]][0], "score": float(exact[i])}
+def _matrix(column: pa.Array, kind: str, width: int) -> np.ndarray:
+    """Packed vectors as rows of doubles."""
+    return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(-1, width).astype(np.float64)
+
+
+def best_of(q: np.ndarray, x: np.ndarray, least: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, row, cosine) of the ``k`` nearest rows of ``x`` to each query, equal ones by ``least``."""
+    norms, lengths = np.sqrt((x * x).sum(1)), np.sqrt((q * q).sum(1))
+    rough = (q / lengths[:, None]) @ (x / norms[:, None]).T
+    k = min(k, len(x))
+    floor = np.partition(rough, len(x) - k, axis=1)[:, len(x) - k] - 1e-9  # rounding differs by far less
+    at, row = np.nonzero(rough >= floor[:, None])
+    exact = (x[row] * q[at]).sum(1) / (norms[row] * lengths[at])
+    order = np.lexsort((least[row], -exact, at))
+    at, row, exact = at[order], row[order], exact[order]
+    first = np.searchsorted(at, at)
+    keep = np.arange(len(at)) - first < k
+    return at[keep], row[keep], exact[keep]
+
+
+def _matches(k: int, kind: str, width: int):
+    """For rows of (key, asks, name, least, v) sorted by the first two: the ``k`` best rows of its group for each query in it. A group's rows are in hand at once, its queries go by."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, queries, rows = None, [], []
-        schema = pa.schema([("query", pa.int64()), ("class", pa.int64()), ("score", pa.float64())])
-        for batch in batches:
+        key, rows, group = None, [], None
+        for batch in pieces(batches):
+            keys, asks, names, least = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
+            v = _matrix(batch.column(4), kind, width)
+            cuts = np.flatnonzero((np.diff(keys) != 0) | (np.diff(asks.astype(np.int8)) != 0)) + 1
             out = []
-            for key, asks, name, vector in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                if key != group:
-                    out += best(queries, rows)
-                    group, queries, rows = key, [], []
-                (queries if asks else rows).append((name, vector))
+            for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(keys)], strict=True):
+                if keys[a] != key:
+                    key, rows, group = keys[a], [], None
+                if not asks[a]:
+                    rows.append((names[a:b], least[a:b], v[a:b]))
+                elif rows:
+                    if group is None:
+                        group = [np.concatenate(c) for c in zip(*rows, strict=True)]
+                    for i in range(a, b, BLOCK):
+                        at, row, score = best_of(v[i : min(b, i + BLOCK)], group[2], group[1], k)
+                        out.append((names[i : min(b, i + BLOCK)][at], group[0][row], score))
             if out:
-                yield pa.RecordBatch.from_pylist(out, schema=schema)
-        if out := list(best(queries, rows)):
-            yield pa.RecordBatch.from_pylist(out, schema=schema)
+                columns = [np.concatenate(c) for c in zip(*out, strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["query", "class", "score"])
 
     return run
 
 
-def nearest(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", share: float = SHARE, trees: int = TREES, seed: int = 11) -> DataFrame:
+def nearest(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", target: float = TARGET, trees: int = TREES, seed: int = 11) -> DataFrame:
     """``query_id, rank, vec_id, score`` of the ``k`` nearest found of each query row, by cosine.
 
     Equal vectors are folded into a class first: a class is searched, and looked
@@ -162,62 +191,69 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec
     scores come by id. Vectors that are null, zero or hold null, NaN or infinite
     components take no part, nor do null ids. Of rows that repeat an id each
     vector counts; a pair of ids has its best score, and a query never finds its
-    own id. Vectors of another length than the first sampled one's are an error.
-    An empty table gives no rows.
+    own id. Shorter vectors count as if zeros followed. An empty table gives no
+    rows; other columns are ignored.
     """
     spark = vectors.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4096")
+    narrow = vectors.schema[vector_col].dataType.elementType.typeName() == "float"
     rows = vectors.filter(_usable(vector_col) & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"), F.coalesce(is_query, F.lit(False)).alias("asks"))
-    rows = rows.withColumn("v", F.transform("v", lambda e: e + F.lit(0.0))).withColumn("class", F.xxhash64("v")).withColumn("check", F.xxhash64(F.lit(1), "v"))
-    rows = materialise(rows)
+    width = rows.agg(F.max(F.size("v"))).first()[0]
+    if not width:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    padded = F.concat(F.transform("v", lambda e: e + F.lit(0.0)), F.array_repeat(F.lit(0.0), F.lit(width) - F.size("v")))
+    rows = rows.withColumn("v", padded).withColumn("class", F.xxhash64("v")).withColumn("check", F.xxhash64(F.lit(1), "v"))
+    kind = "<f4" if narrow else "<f8"
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches):
+            v = batch.column(4).flatten().to_numpy().astype(kind).reshape(-1, width)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array([x.tobytes() for x in v], pa.binary())], names=["id", "asks", "class", "check", "v"])
+
+    rows = materialise(in_arrow(rows.select("id", "asks", "class", "check", "v"), pack, "id long, asks boolean, class long, check long, v binary"))
     by_class = Window.partitionBy("class", "check").orderBy("id")
     members = rows.select("class", "check", "id").distinct().withColumn("at", F.row_number().over(by_class)).filter(F.col("at") <= k + 1).drop("at")
     folded = rows.withColumn("at", F.row_number().over(Window.partitionBy("class", "check").orderBy("id", "asks"))).filter("at = 1")
-    named = materialise(folded.select("class", "check", F.monotonically_increasing_id().alias("name"), "v"))
+    named = materialise(folded.select("class", "check", F.monotonically_increasing_id().alias("name"), F.col("id").alias("least"), "v"))
     size = named.count()
-    if not size:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     drawn = named.filter(F.pmod(F.xxhash64(F.lit(seed), "class"), F.lit(1 << 20)) < min(1.0, SAMPLE / size) * (1 << 20)).select("class", "v")
     sample = [v for _, v in sorted(drawn.collect())] or [named.first()["v"]]  # about SAMPLE vectors
-    x = np.array(sample)
-    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    x = np.frombuffer(b"".join(sample), kind).reshape(-1, width).astype(np.float64)
+    x = x / np.linalg.norm(x, axis=1, keepdims=True)
     rng = np.random.default_rng(seed)
-    forest = spark.sparkContext.broadcast([Tree.grow(x, rng) for _ in range(trees)])  # of the sample's size
-    want = max(min(LEAST, len(x) * trees), int(share * trees * len(x)))
+    fitted = [Tree.grow(x, rng) for _ in range(trees)]
+    want = calibrate(fitted, x, k, rng, target)
+    forest = spark.sparkContext.broadcast(fitted)  # of the sample's size
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                v = np.array(batch.column(1).to_pylist())
-                v /= np.linalg.norm(v, axis=1, keepdims=True)
-                for t, tree in enumerate(forest.value):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(v), t, np.int32)), pa.array(tree.leaves(v).astype(np.int32)), batch.column(0), batch.column(1)], names=["tree", "leaf", "name", "v"])
+        for batch in pieces(batches):
+            v = _matrix(batch.column(2), kind, width)
+            v /= np.linalg.norm(v, axis=1, keepdims=True)
+            for t, tree in enumerate(forest.value):
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(v), t, np.int32)), pa.array(tree.leaves(v).astype(np.int32)), *batch.columns], names=["tree", "leaf", "name", "least", "v"])
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for name, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                q = np.array(v)
-                opened = search(forest.value, q / np.linalg.norm(q), want)
-                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in opened], pa.int32()), pa.array([x[1] for x in opened], pa.int32()), pa.array([name] * len(opened), pa.int64()), pa.array([v] * len(opened), pa.list_(pa.float64()))], names=["tree", "leaf", "name", "v"])
+        for batch in pieces(batches):
+            v = _matrix(batch.column(2), kind, width)
+            for i, q in enumerate(v / np.linalg.norm(v, axis=1, keepdims=True)):
+                opened = search(forest.value, q, want)
+                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in opened], pa.int32()), pa.array([x[1] for x in opened], pa.int32()), *[pa.array([c[i].as_py()] * len(opened), c.type) for c in batch.columns]], names=["tree", "leaf", "name", "least", "v"])
 
-    shape = "tree int, leaf int, name long, v array<double>"
+    shape = "tree int, leaf int, name long, least long, v binary"
     asking = rows.filter("asks").select("class", "check").distinct()
     queries = named.join(asking, ["class", "check"])
-    index = named.select("name", "v").mapInArrow(place, shape)
+    index = materialise(in_arrow(named.select("name", "least", "v"), place, shape))
     # Leaves that many rows fall into are split; the counts are a row per leaf.
-    index = materialise(index)
-    parts = index.groupBy("tree", "leaf").count().select("tree", "leaf", F.ceil(F.col("count") / GROUP).cast("int").alias("parts"))
-    parts = materialise(parts)
-    group = F.struct("tree", "leaf", "part")
-    dealt = index.join(F.broadcast(parts), ["tree", "leaf"]).withColumn("part", F.pmod(F.col("name"), F.col("parts")).cast("int"))
-    probes = queries.select("name", "v").mapInArrow(ask, shape).join(F.broadcast(parts), ["tree", "leaf"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    met = dealt.select(F.xxhash64(group).alias("key"), F.lit(False).alias("asks"), "name", "v").union(probes.select(F.xxhash64(group).alias("key"), F.lit(True).alias("asks"), "name", "v"))
-    found = met.repartition("key").sortWithinPartitions("key", F.desc("asks")).mapInArrow(_matches(k + 1), "query long, class long, score double")
+    parts = materialise(index.groupBy("tree", "leaf").count().select("tree", "leaf", F.ceil(F.col("count") / GROUP).cast("int").alias("parts")), few=True)
+    key = F.xxhash64("tree", "leaf", "part")
+    dealt = index.join(F.broadcast(parts), ["tree", "leaf"]).withColumn("part", F.pmod(F.xxhash64("name"), F.col("parts")).cast("int"))
+    probes = in_arrow(queries.select("name", "least", "v"), ask, shape).join(F.broadcast(parts), ["tree", "leaf"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    met = dealt.select(key.alias("key"), F.lit(False).alias("asks"), "name", "least", "v").union(probes.select(key.alias("key"), F.lit(True).alias("asks"), "name", "least", "v"))
+    found = in_arrow(met.repartition("key").sortWithinPartitions("key", "asks"), _matches(k + 1, kind, width), "query long, class long, score double")
     found = found.groupBy("query", "class").agg(F.max("score").alias("score"))  # a class is met in several trees
+    least = named.select(F.col("name").alias("class"), "least")
+    best = _top(found.join(least, "class"), k + 1)
     ids = materialise(named.select("name", "class", "check").join(members, ["class", "check"]).select("name", F.col("id").alias("member")))
-    least = ids.groupBy("name").agg(F.min("member").alias("least"))
-    best = _top(found.withColumnRenamed("class", "name").join(least, "name"), k + 1)
-    pairs = best.join(ids, "name").select(F.col("query").alias("q"), "score", F.col("member").alias("vec_id"))
+    pairs = best.withColumnRenamed("class", "name").join(ids, "name").select(F.col("query").alias("q"), "score", F.col("member").alias("vec_id"))
     askers = rows.filter("asks").select("id", "class", "check").distinct().join(named.select("name", "class", "check"), ["class", "check"]).select(F.col("id").alias("query_id"), F.col("name").alias("q"))
     # A class that half of the queries share has k + 1 classes of at most k + 1 ids each, so this grows as the queries do.
     full = pairs.join(askers, "q").filter("vec_id <> query_id").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
