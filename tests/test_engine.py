@@ -394,6 +394,8 @@ def test_file_layout(spark, tmp_path):
         assert "DELTA_BINARY_PACKED" in columns["ts"].encodings and not any("DICTIONARY" in x for x in columns["id"].encodings)
         assert columns["data"].statistics is None or not columns["data"].statistics.has_min_max
         assert columns["ts"].compression == "LZ4"
+        kept = json.loads(file.metadata.metadata[b"org.apache.spark.sql.parquet.row.metadata"])
+        assert kept["fields"][0]["metadata"] == {"series": "trades", "epoch": 0}
         schema = file.schema
         assert schema.column(0).max_definition_level == 0 and schema.column(2).max_definition_level == 1
 

@@ -308,6 +308,8 @@ class Engine:
         # A fixed number of tasks: opening a file an hour is most of a small flush, and one task would do it all.
         tasks = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
         rows = sort_for_storage(to_storage(good, keys), tasks, hot).drop("seg", "off").observe(wrote, F.count("*").alias("n"))
+        # Spark keeps the schema of a file, with what is said of its columns, in the footer.
+        rows = rows.withMetadata("ts", {"series": series, "epoch": span[2]})
         written = f"tmp/{series}/write-{uuid.uuid4().hex}"
         writer = rows.write.partitionBy("hour").option("compression", COMPRESSION[self.config.flush.compression])
         for option, value in _PARQUET.items():
