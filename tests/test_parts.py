@@ -230,3 +230,25 @@ def test_cli(spark, tmp_path, capsys):
     assert main([*base, "flush"]) == 0 and json.loads(capsys.readouterr().out)["rows"] == 1
     assert main([*base, "schema"]) == 0 and json.loads(capsys.readouterr().out)["series"][0]["name"] == "s"
     assert main([*base, "send", "none", "x"]) == 1
+
+
+def test_a_cluster_must_name_a_shared_folder(spark):
+    from types import SimpleNamespace
+
+    from tidelake.files import shared_folder
+
+    assert shared_folder(spark) == spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    bare = lambda master: SimpleNamespace(sparkContext=SimpleNamespace(master=master, getConf=dict))
+    assert shared_folder(bare("local[2]"))
+    for master in ("spark://one:7077", "yarn", "k8s://x"):
+        with pytest.raises(ValueError, match="checkpoint"):
+            shared_folder(bare(master))
+
+
+def test_values_as_text(spark):
+    from tidelake.functions.records import text_of
+
+    values = {1.0: "1", -2.5: "-2.5", 0.1: "0.1", 1e14: "100000000000000", 1e21: "1000000000000000000000", 1.5e-7: "0.00000015", float("inf"): "inf", -0.0: "-0", 123456789.25: "123456789.25"}
+    rows = spark.createDataFrame([(v,) for v in values] + [(None,)], "f double").select("f", text_of("f", "f64").alias("t")).collect()
+    assert {repr(r["f"]): r["t"] for r in rows} == {repr(k): v for k, v in values.items()} | {"None": None}
+    assert spark.range(1).select(text_of(F.lit(True), "bool").alias("b"), text_of(F.lit(7), "i64").alias("i")).first() == ("true", "7")

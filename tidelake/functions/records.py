@@ -58,8 +58,9 @@ def text_of(column: str | Column, type_: str) -> Column:
     shortest = c.cast("string")
     whole = (F.abs(c) < 1e15) & (F.floor(c) == c)
     plain = F.when((c == 0) & shortest.startswith("-"), "-0").when(whole, c.cast("long").cast("string"))
-    large = F.when(F.abs(c) < 1e37, shortest.cast("decimal(38,0)").cast("string"))
-    small = F.rtrim(F.lit("0"), F.when(F.abs(c) > 1e-20, shortest.cast("decimal(38,37)").cast("string")))
+    trimmed = lambda digits: F.rtrim(F.rtrim(shortest.cast(digits).cast("string"), F.lit("0")), F.lit("."))
+    large = F.when(F.abs(c) < 1e27, trimmed("decimal(38,10)")).when(F.abs(c) < 1e37, shortest.cast("decimal(38,0)").cast("string"))
+    small = F.when(F.abs(c) > 1e-20, trimmed("decimal(38,37)"))
     named = F.when(F.isnan(c), "NaN").when(c == float("inf"), "inf").when(c == float("-inf"), "-inf")
     return F.coalesce(named, plain, F.when(~shortest.contains("E"), shortest), F.when(F.abs(c) >= 1, large), F.when(F.abs(c) < 1, small), shortest)
 
