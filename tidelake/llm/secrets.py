@@ -2,10 +2,12 @@
 
 Patterns find candidates in each text. Every candidate value is hashed, and the
 hashes are counted over the corpus by distinct repositories (documents) and
-owners (sources). A value that many owners have is a widely copied example; one
-that stays with one or two owners and looks random is a live credential of
-theirs. The verdict also admits long random-looking values that no pattern
-names: those become spans of their own kind, ``owned``.
+owners (sources). A value that many owners or many repositories have is a widely
+copied example; one that stays with one or two owners, in few repositories, and
+looks random is a live credential of theirs. The verdict also admits long
+random-looking values that no pattern names: those become spans of their own
+kind, ``owned``. Slugs, paths and numbered names are none: they are words when
+they are cut at hyphens, underscores and slashes.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import lean, materialise, maybe_broadcast
+from .common import in_arrow, materialise, maybe_broadcast, pieces, unused
 
 #: The three base patterns, in the order of their kinds.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -30,8 +32,10 @@ KINDS = ("assign", "access", "hex", "owned")
 #: What a text must contain to have an assignment.
 _WORDS = ("password", "passwd", "secret", "token", "api")
 _LONG = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
-#: A value is live if so many owners have it at most, and an owned one must have so many bits of entropy a character.
-MAX_OWNERS, MIN_ENTROPY = 2, 3.0
+#: A value is live if so many owners and repositories have it at most, and a random one must have so many bits of entropy a character.
+MAX_OWNERS, MAX_REPOSITORIES, MIN_ENTROPY = 2, 50, 3.0
+#: A value that no pattern names must hold a part of so many letters and digits, that change so often from one to the other.
+PART, CHANGES = 16, 4
 #: Spans of a corpus that may be broadcast to its rows, after they were counted; each has four numbers.
 BROADCAST_SPANS = 100_000
 
@@ -61,11 +65,27 @@ def looks_random(value: str) -> bool:
     return -sum(k / n * math.log2(k / n) for k in Counter(value).values()) >= MIN_ENTROPY
 
 
+_PARTS = re.compile(rf"[A-Za-z0-9+=]{{{PART},}}")
+_CHANGE = re.compile(r"[A-Za-z](?=[0-9])|[0-9](?=[A-Za-z])")
+
+
+def looks_like_a_key(value: str) -> bool:
+    """Random, in a part that is not put together from words and numbers."""
+    return any(looks_random(p) and len(_CHANGE.findall(p)) >= CHANGES for p in _PARTS.findall(value))
+
+
 def other_candidates(text: str, base: list[tuple[int, int, int, str]]) -> list[tuple[int, int, int, str]]:
     """Long random-looking values that lie outside all base spans."""
     if not (matches := list(_LONG.finditer(text))):
         return []
-    return [(m.start(), 3, m.end(), m[0]) for m in matches if looks_random(m[0]) and not any(a < m.end() and m.start() < b for a, _, b, _ in base)]
+    found, at, reach = [], 0, 0
+    for m in matches:  # both are in order, so the base spans are gone through once
+        while at < len(base) and base[at][0] < m.end():
+            reach = max(reach, base[at][2])
+            at += 1
+        if reach <= m.start() and looks_like_a_key(m[0]):
+            found.append((m.start(), 3, m.end(), m[0]))
+    return found
 
 
 def _name(value: str) -> str:
@@ -80,7 +100,7 @@ def candidates(docs: DataFrame, id_col: str, owner_col: str, text_col: str) -> D
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fields = pa.list_(pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("stop", pa.int32()), ("hash", pa.string()), ("random", pa.bool_())]))
-        for batch in batches:
+        for batch in pieces(batches):
             found = []
             for text in batch.column(3).to_pylist():
                 base = base_spans(text or "")
@@ -88,8 +108,8 @@ def candidates(docs: DataFrame, id_col: str, owner_col: str, text_col: str) -> D
                 found.append([{"start": a, "kind": k, "stop": b, "hash": _name(v), "random": looks_random(v)} for a, k, b, v in spans])
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(found, fields)], names=[id_col, "owner", "print", "found"])
 
-    slim = lean(docs.select(F.col(id_col), F.col(owner_col).cast("string").alias("owner"), F.xxhash64(text_col).alias("print"), F.col(text_col).alias("text")), id_col, "owner", "print", "text")
-    return materialise(slim.mapInArrow(run, f"`{id_col}` {dict(slim.dtypes)[id_col]}, owner string, print long, found {CANDIDATES}")).withColumn("row", F.monotonically_increasing_id())
+    slim = docs.select(F.col(id_col), F.col(owner_col).cast("string").alias("owner"), F.xxhash64(text_col).alias("print"), F.col(text_col).alias("text"))
+    return materialise(in_arrow(slim, run, f"`{id_col}` {dict(slim.dtypes)[id_col]}, owner string, print long, found {CANDIDATES}")).withColumn("row", F.monotonically_increasing_id())
 
 
 def ownership(found: DataFrame) -> DataFrame:
@@ -102,7 +122,7 @@ def ownership(found: DataFrame) -> DataFrame:
     once = found.select("owner", F.explode(F.array_distinct(F.transform("found", lambda x: F.struct(x["hash"].alias("hash"), x["random"].alias("random"))))).alias("c"))
     each = once.groupBy("c.hash", "owner").agg(F.count("*").alias("repositories"), F.first("c.random").alias("random"))
     total = each.groupBy("hash").agg(F.sum("repositories").alias("repositories"), F.count("*").alias("owners"), F.first("random").alias("random"))
-    return total.select("hash", "repositories", "owners", ((F.col("owners") <= MAX_OWNERS) & F.col("random")).alias("live"))
+    return total.select("hash", "repositories", "owners", ((F.col("owners") <= MAX_OWNERS) & (F.col("repositories") <= MAX_REPOSITORIES) & F.col("random")).alias("live"))
 
 
 def _joined(spans: Column) -> Column:
@@ -153,17 +173,18 @@ def redact(docs: DataFrame, id_col: str = "doc_id", owner_col: str = "source", t
     A null text stays null.
     """
     found = scan(docs, id_col, owner_col, text_col)
-    spans = materialise(found.filter(F.size("judged") > 0).select(F.col(id_col).alias("_id"), F.col("print").alias("_print"), F.col("judged").alias("_judged")).dropDuplicates(["_id", "_print"]))
-    if spans.agg(F.coalesce(F.sum(F.size("_judged")), F.lit(0))).first()[0] <= BROADCAST_SPANS:
+    id_, print_, judged_ = unused(docs, 3)
+    spans = materialise(found.filter(F.size("judged") > 0).select(F.col(id_col).alias(id_), F.col("print").alias(print_), F.col("judged").alias(judged_)).dropDuplicates([id_, print_]))
+    if spans.agg(F.coalesce(F.sum(F.size(judged_)), F.lit(0))).first()[0] <= BROADCAST_SPANS:
         spans = F.broadcast(spans)
-    joined = docs.join(spans, docs[id_col].eqNullSafe(spans["_id"]) & (F.xxhash64(docs[text_col]) == spans["_print"]), "left")
+    joined = docs.join(spans, docs[id_col].eqNullSafe(spans[id_]) & (F.xxhash64(docs[text_col]) == spans[print_]), "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             texts, judged = batch.column(at).to_pylist(), batch.column(batch.num_columns - 1).to_pylist()
             masked = [_mask(t, j) if t and j else t for t, j in zip(texts, judged, strict=True)]
             columns = [pa.array(masked, pa.string()) if i == at else batch.column(i) for i in range(batch.num_columns - 1)]
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
     at, names = docs.columns.index(text_col), docs.columns
-    return lean(joined, *[f"`{c}`" for c in docs.columns], "_judged").mapInArrow(run, docs.schema)
+    return in_arrow(joined.select(*[F.col(f"`{c}`") for c in docs.columns], judged_), run, docs.schema)
