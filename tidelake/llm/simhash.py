@@ -28,10 +28,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import lean, materialise, maybe_broadcast
+from .common import in_arrow, materialise, maybe_broadcast, pieces, sorted_groups, unused
 
 SHINGLE, RADIUS, SEED = 3, 2, 42
 BLOCKS = [0xFFFF << shift for shift in (0, 16, 32, 48)]
+#: Buckets of ids by which all tasks are told which rows may go: so many small numbers are broadcast at most.
+BUCKETS = 1 << 20
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
@@ -57,14 +59,16 @@ class BKTree:
         self.values: list[int] = []
         self.children: list[dict[int, int]] = []
 
-    def search(self, value: int, radius: int) -> list[int]:
-        """Places of all values within the radius; follows only edges that can lead to some."""
+    def search(self, value: int, radius: int, first: bool = False) -> list[int]:
+        """Places of all values within the radius, or of the ``first`` one met; follows only edges that can lead to some."""
         found, todo = [], [0] if self.values else []
         while todo:
             at = todo.pop()
             distance = (self.values[at] ^ value).bit_count()
             if distance <= radius:
                 found.append(at)
+                if first:
+                    break
             children = self.children[at]
             if len(children) <= 2 * radius + 1:
                 todo += [c for d, c in children.items() if abs(d - distance) <= radius]
@@ -85,9 +89,14 @@ class BKTree:
             at = children[distance]
 
 
-def linked(values: list[int], radius: int = RADIUS) -> list[tuple[int, int]]:
-    """A forest that joins all of ``values`` (distinct, unsigned) that links connect: at most a pair for each value."""
-    tree, roots = BKTree(), list(range(len(values)))
+def linked(values: list[int], radius: int = RADIUS, every: bool = True) -> list[tuple[int, int]]:
+    """Pairs of ``values`` (distinct, unsigned) within the radius: a forest that joins all that such pairs connect.
+
+    While one component holds the whole tree, the first value met joins it, so
+    a shard of near copies costs its size and not its square. Unless ``every``,
+    the first one met is enough in any case; some links are then not seen.
+    """
+    tree, roots, parts, found = BKTree(), list(range(len(values))), 0, []
 
     def root(i: int) -> int:
         while roots[i] != i:
@@ -96,62 +105,43 @@ def linked(values: list[int], radius: int = RADIUS) -> list[tuple[int, int]]:
         return i
 
     for i, value in enumerate(values):
-        mine = i
-        for near in tree.search(value, radius):
-            other = root(near)
+        near = tree.search(value, radius, first=not every or parts == 1)
+        parts += 1
+        for place in near:
+            mine, other = root(i), root(place)
             if other != mine:
                 roots[max(mine, other)] = min(mine, other)
-                mine = min(mine, other)
+                parts -= 1
+                found.append((value, values[place]))
         tree.add(value)
-    return [(values[i], values[root(i)]) for i in range(len(values)) if root(i) != i]
+    return found
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
     """``id_col, fp`` with ``fp`` a long, for each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([fingerprint(t, shingle) for t in batch.column(1).to_pylist()], pa.int64())], names=[id_col, "fp"])
 
-    slim = lean(docs, id_col, text_col)
-    return slim.mapInArrow(run, slim.select(id_col).schema.add("fp", "long"))
+    slim = docs.select(id_col, text_col)
+    return in_arrow(slim, run, slim.select(id_col).schema.add("fp", "long"))
 
 
 def _shard_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From rows sorted by shard to the links of each shard; the last shard of a batch may go on in the next."""
-
-    def links(shards: np.ndarray, values: np.ndarray) -> pa.RecordBatch:
-        bounds = np.flatnonzero(np.diff(shards)) + 1
-        starts, ends = np.concatenate([[0], bounds]), np.concatenate([bounds, [len(shards)]])
-        found = []
-        for a, b in zip(starts, ends, strict=True):
-            if b - a > 1:
-                found += linked([int(x) for x in np.unique(values[a:b])])
+    """From rows (shard, fingerprint) sorted by shard to the links of each shard."""
+    for shards in sorted_groups(batches):
+        found = [pair for _, values in shards if len(values) > 1 for pair in linked([int(x) for x in np.unique(values.view(np.uint64))])]
         pairs = np.array(found, np.uint64).reshape(-1, 2).view(np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["u", "v"])
-
-    held: list[tuple[np.ndarray, np.ndarray]] = []
-    for batch in batches:
-        shards, values = batch.column(0).to_numpy(), batch.column(1).to_numpy().view(np.uint64)
-        if not len(shards):
-            continue
-        cut = int(np.searchsorted(shards, shards[-1]))
-        if cut or (held and held[-1][0][-1] != shards[0]):
-            held.append((shards[:cut], values[:cut]))
-            yield links(*[np.concatenate(x) for x in zip(*held, strict=True)])
-            held = []
-        held.append((shards[cut:], values[cut:]))
-    if held:
-        yield links(*[np.concatenate(x) for x in zip(*held, strict=True)])
+        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["u", "v"])
 
 
 def links(distinct: DataFrame) -> DataFrame:
     """Edges ``u, v`` between distinct fingerprints ``fp`` that connect all within the radius."""
-    distinct.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50000")
     shards = [(F.col("fp").bitwiseAND(F.lit(np.uint64(BLOCKS[a] | BLOCKS[b]).view(np.int64).item())), k) for k, (a, b) in enumerate(combinations(range(4), 2))]
     routed = distinct.select("fp", F.explode(F.array(*[F.xxhash64(block, F.lit(k)) for block, k in shards])).alias("shard"))
     # A shard whose name is alike by chance only has more to compare: the distance decides.
-    return routed.repartition("shard").sortWithinPartitions("shard").select("shard", "fp").mapInArrow(_shard_links, "u long, v long")
+    return in_arrow(routed.repartition("shard").sortWithinPartitions("shard").select("shard", "fp"), _shard_links, "u long, v long")
 
 
 def components(edges: DataFrame, step: int = 0) -> DataFrame:
@@ -189,22 +179,23 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     folded = materialise(prints.groupBy("fp").agg(F.min(id_col).alias("least")))
     roots = components(links(folded))
     mapped = materialise(folded.join(roots, folded["fp"] == roots["node"], "left").select("fp", F.coalesce("root", "fp").alias("root"), "least"))
-    named = mapped.groupBy("root").agg(F.min("least").alias("component_id"))
+    # Written before it is joined, so that a component of many fingerprints can be split among tasks.
+    named = materialise(mapped.groupBy("root").agg(F.min("least").alias("component_id")))
     known = materialise(mapped.join(named, "root").select("fp", "component_id"))
     joined = prints.join(maybe_broadcast(known), "fp")
     return joined.select(id_col, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def with_fingerprint(docs: DataFrame, text_col: str = "text", column: str = "_fp", of: Callable[[str | None], int] = fingerprint) -> DataFrame:
+def with_fingerprint(docs: DataFrame, column: str, text_col: str = "text", of: Callable[[str | None], int] = fingerprint) -> DataFrame:
     """``docs`` with the fingerprint of each row as a last column."""
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             found = pa.array([of(t) for t in batch.column(at).to_pylist()], pa.int64())
             yield pa.RecordBatch.from_arrays([*batch.columns, found], names=[*batch.schema.names, column])
 
-    return lean(docs, *[f"`{c}`" for c in docs.columns]).mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(column, T.LongType())]))
+    return in_arrow(docs, run, T.StructType([*docs.schema.fields, T.StructField(column, T.LongType())]))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -213,19 +204,32 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     Rows that repeat an id are one document: one of them stays. A row without an
     id stays if nothing in its component has one, one row for each fingerprint.
     """
-    found = near_duplicates(docs, id_col, text_col)
-    kept = materialise(found.filter(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("_kept")).distinct())
-    nameless = found.filter(F.col("component_id").isNull()).select(F.conv("fingerprint", 16, -10).cast("long").alias("_fp")).distinct()
-    return keep_rows(docs, kept, nameless, fingerprint, id_col, text_col)
-
-
-def keep_rows(docs: DataFrame, kept: DataFrame, nameless: DataFrame, of: Callable[[str | None], int], id_col: str, text_col: str) -> DataFrame:
-    """One row for each id ``_kept``, and of those without an id one for each ``_fp``, which ``of`` gives for a text."""
-    rows = docs.join(kept.hint("shuffle_hash"), docs[id_col] == kept["_kept"], "left_semi")
-    if not docs.groupBy(id_col).count().filter(F.col("count") > 1).filter(F.col(id_col).isNotNull()).isEmpty():
-        rows = rows.dropDuplicates([id_col])
-    nameless = materialise(nameless)
+    found = near_duplicates(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "id", "text")
+    found = materialise(found.select("id", "component_id", F.conv("fingerprint", 16, -10).cast("long").alias("fp")))
+    own = found.filter("id = component_id").select("id").distinct()
+    dropped = found.filter("id is not null").select("id").distinct().join(own, "id", "left_anti")
+    return keep_rows(docs, found.select("id"), dropped, found.filter("component_id is null").select("fp").distinct(), fingerprint, id_col, text_col)
+
+
+def keep_rows(docs: DataFrame, ids: DataFrame, dropped: DataFrame, nameless: DataFrame, of: Callable[[str | None], int], id_col: str, text_col: str) -> DataFrame:
+    """``docs`` less the rows whose ``id`` is in ``dropped``, one row for each id, and of those without an id one for each ``fp`` of ``nameless``, which ``of`` gives for a text.
+
+    ``ids`` has the id of every row. What is to go, or to be looked at because
+    its id repeats, is told to all tasks by the bucket of its id, at most
+    BUCKETS of them; only rows of those buckets are moved.
+    """
+    key, bucket, fp = unused(docs, 3)
+    suspects = materialise(ids.groupBy("id").count().filter("count > 1 and id is not null").select("id", F.lit(False).alias("go")).union(dropped.select("id", F.lit(True).alias("go"))))
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(BUCKETS)).cast("int")
+    buckets = F.broadcast(materialise(suspects.select(place("id").alias(bucket)).distinct(), few=True))
+    named = docs.filter(F.col(id_col).isNotNull()).withColumn(bucket, place(id_col))
+    clear = named.join(buckets, bucket, "left_anti").drop(bucket)
+    gone = suspects.filter("go").select(F.col("id").alias(key))
+    looked_at = named.join(buckets, bucket, "left_semi").drop(bucket)
+    looked_at = looked_at.join(gone, looked_at[id_col] == gone[key], "left_anti").dropDuplicates([id_col])
+    rows = clear.union(looked_at)
+    nameless = materialise(nameless.select(F.col("fp").alias(fp)), few=True)
     if nameless.isEmpty():
         return rows
-    extra = with_fingerprint(docs.filter(F.col(id_col).isNull()), text_col, of=of).join(nameless, "_fp", "left_semi").dropDuplicates(["_fp"])
-    return rows.union(extra.select(*[f"`{c}`" for c in docs.columns]))
+    extra = with_fingerprint(docs.filter(F.col(id_col).isNull()), fp, text_col, of).join(nameless, fp, "left_semi").dropDuplicates([fp])
+    return rows.union(extra.select(*[F.col(f"`{c}`") for c in docs.columns]))
