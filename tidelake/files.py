@@ -6,6 +6,7 @@ import os
 import tempfile
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import SparkSession
 
 
@@ -70,6 +71,22 @@ class Files:
         finally:
             stream.close()
 
+    def read_if_there(self, *parts: str) -> str | None:
+        """The text of a file, or None if it is not there, or no longer."""
+        try:
+            return self.read(*parts) if self.exists(*parts) else None
+        except Py4JJavaError:
+            if self.exists(*parts):
+                return self.read(*parts)
+            return None
+
+    def modified(self, *parts: str) -> float | None:
+        """Seconds since 1970 at which a file was written last, or None if it is not there."""
+        try:
+            return self.fs.getFileStatus(self._at(*parts)).getModificationTime() / 1000
+        except Py4JJavaError:
+            return None
+
     def write(self, text: str, *parts: str) -> None:
         stream = self.fs.create(self._at(*parts), True)
         try:
