@@ -28,7 +28,7 @@ _PLAIN = re.compile(r"[\t\n\v\f\r -~À-ÖØ-öø-ɏ]*")
 _L = "A-Za-zÀ-ÖØ-öø-ɏ"
 _PLAIN_SPLIT = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[0-9]+| ?[^\t\n\v\f\r 0-9{_L}]+|[\t\n\v\f\r ]+(?![^\t\n\v\f\r ])|[\t\n\v\f\r ]+")
 #: Pieces over this many bytes are not kept, and caches are renewed at so many entries.
-KEEP_BYTES, KEEP_PIECES, KEEP_PAIRS = 64, 300_000, 400_000
+KEEP_BYTES, KEEP_PIECES, KEEP_PAIRS = 64, 100_000, 200_000
 
 
 def read_ranks(data: bytes) -> dict[bytes, int]:

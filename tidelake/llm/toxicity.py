@@ -30,7 +30,7 @@ CHAR_DIM, WORD_DIM, CHAR_HIDDEN, WORD_HIDDEN = 8, 8, 8, 12
 SAMPLE_TOXIC, SAMPLE_CLEAN, SAMPLE_CHARS, VOCABULARY = 1500, 2500, 20_000, 20_000
 EPOCHS, BATCH, RATE = 8, 128, 0.01
 #: Words whose inputs a worker keeps, and windows that it scores at a time.
-KEEP_WORDS, AT_ONCE = 120_000, 1024
+KEEP_WORDS, AT_ONCE = 60_000, 1024
 #: Characters are told apart by their code modulo this.
 ALPHABET = 512
 
@@ -306,7 +306,8 @@ def _stems(word: str) -> list[str]:
 
 def train(texts: list[str], toxic: list[int], epochs: int = EPOCHS, seed: int = 3) -> Network | None:
     """A network from labelled texts; None unless both labels are there. The same input gives the same network."""
-    docs = [(words_of(t), y) for t, y in zip(texts, toxic, strict=True)]
+    one: dict[str, str] = {}  # of each word a single copy, as texts repeat them
+    docs = [([one.setdefault(w, w) for w in words_of(t)], y) for t, y in zip(texts, toxic, strict=True)]
     docs = [(w, y) for w, y in docs if w]
     y = np.array([d[1] for d in docs])
     if not docs or y.min() == y.max():
@@ -325,6 +326,7 @@ def train(texts: list[str], toxic: list[int], epochs: int = EPOCHS, seed: int =
     network = Network(vocabulary, seed)
     parts = [windows_of(w) for w, _ in docs]
     worst = [max(range(len(p)), key=lambda i, p=p: sum(hint[w] ** 2 for w in sorted(set(p[i])))) for p in parts]
+    del one, having, stems, odds, hint, both
     moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in network.p.items()}
     step, weight = 0, np.where(y == 1, len(y) / (2 * n[1]), len(y) / (2 * n[0]))
     least = max(epochs * len(docs) // BATCH, 200)  # small samples are gone through more often
@@ -352,7 +354,7 @@ def _window_logits(network: Network, parts: list[list[list[str]]]) -> list[np.nd
     words = list(dict.fromkeys(w for p in parts for x in p for w in x))
     at = {w: i + 1 for i, w in enumerate(words)}
     table = np.concatenate([np.zeros((1, 6 * WORD_HIDDEN), np.float32), network.inputs(words)])
-    ids = np.zeros((sum(map(len, parts)), WINDOW), np.int64)
+    ids = np.zeros((sum(map(len, parts)), WINDOW), np.int32)
     for i, x in enumerate(x for p in parts for x in p):
         ids[i, : len(x)] = [at[w] for w in x]
     z = np.concatenate([network.logits(table[ids[i : i + AT_ONCE].T], (ids[i : i + AT_ONCE].T > 0).astype(np.float32)) for i in range(0, len(ids), AT_ONCE)])
@@ -386,7 +388,9 @@ def train_on(docs: DataFrame, labels: DataFrame, modulus: int = 3, remainder: in
     most = 2 * sum(sample)  # twice what is expected, as ids can repeat
     drawn = known.filter(F.pmod(F.xxhash64(F.lit(9), "_id"), F.lit(1 << 20)) < share * (1 << 20)).orderBy(F.xxhash64("_id"), "_label").limit(most)
     texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).filter(F.length("_text") <= SAMPLE_CHARS)
-    rows = texts.join(F.broadcast(drawn), "_id").orderBy(F.xxhash64("_id", "_text"), "_label").limit(most).select("_id", "_label", "_text")
+    rows = texts.join(F.broadcast(drawn), "_id").select("_id", "_label", "_text")
+    if docs.select(F.col(id_col).alias("_id")).join(F.broadcast(drawn), "_id").count() > most:
+        rows = rows.orderBy(F.xxhash64("_id", "_text"), "_label").limit(most)
     table = sorted(zip(*[c.to_pylist() for c in rows.toArrow().columns], strict=True))  # the bounded sample
     return train([r[2] for r in table], [r[1] for r in table])
 
