@@ -50,6 +50,8 @@ NEAR, WIDE = 8, 24
 WIDTHS = (64, 128, 256, 512)
 #: Rows of a shard that one tree holds; shards are split so far.
 TREE_ROWS = 2048
+#: Pairs that a task holds, to give each of them once.
+HELD_PAIRS = 100_000
 #: Pairs of a node and shard that are compared before all are.
 NEAREST = 4
 SHARD = ("key", "side", "node", "size", "fp", "root", "sketch")
@@ -291,16 +293,21 @@ def _unjoined(rows: DataFrame, most: int | None = None) -> DataFrame:
     """Pairs ``u, v`` that may be alike and whose roots differ, of each shard of ``key, side, node, size, fp, root, sketch``, sorted; of two sides, pairs across alone. All of them, or the ``most`` nearest of each node."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros((0, 2), np.int64)  # a pair that shares many shingles is in many shards: once for each task, or nearly
         for shards in sorted_groups(batches):
-            found = []
             for _, sides, nodes, sizes, prints, roots, sketches in shards:
                 if len(nodes) > 1:
                     a, b = close_pairs(sides, sizes.astype(np.int64), prints, roots, sketches)
                     if most and len(a):
                         keep = nearest_pairs(a, b, prints, most)
                         a, b = a[keep], b[keep]
-                    found.append(np.stack([nodes[a], nodes[b]], axis=1))
-            yield _pairs(np.concatenate(found) if found else [])
+                    held = np.concatenate([held, np.sort(np.stack([nodes[a], nodes[b]], axis=1), axis=1)])
+                    if len(held) > HELD_PAIRS:
+                        held = np.unique(held, axis=0)
+                        if len(held) > HELD_PAIRS // 2:
+                            yield _pairs(held)
+                            held = held[:0]
+        yield _pairs(np.unique(held, axis=0))
 
     return in_arrow(rows, run, "u long, v long")
 
