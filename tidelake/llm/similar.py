@@ -47,7 +47,7 @@ SAMPLE_DOCS, COMMON = 10_000, 4
 #: Bits in which fingerprints of likely near copies differ at most, and of any near copies.
 NEAR, WIDE = 8, 24
 #: Bits of the sketches by which shards rule out pairs; wider ones are folded.
-WIDTHS = (64, 128, 256, 512)
+WIDTHS = (256, 512, 1024)
 #: Rows of a shard that one tree holds; shards are split so far.
 TREE_ROWS = 2048
 #: Pairs that a task holds, to give each of them once.
@@ -101,8 +101,8 @@ def prefix(found: np.ndarray, common: np.ndarray) -> np.ndarray:
 
 
 def sketch(found: np.ndarray) -> bytes:
-    """Parities of the numbers of shingles in at least as many buckets: those of two sets differ in no more bits than the sets do in shingles."""
-    width = max(64, 1 << (len(found) - 1).bit_length()) if len(found) else 64
+    """Parities of the numbers of shingles in four times as many buckets or more: those of two sets differ in no more bits than the sets do in shingles, and in hardly fewer."""
+    width = max(WIDTHS[0], 4 << (len(found) - 1).bit_length()) if len(found) else WIDTHS[0]
     return np.packbits((np.bincount(found & (width - 1), minlength=width) & 1).astype(np.uint8)).tobytes()
 
 
