@@ -51,3 +51,37 @@ def test_the_flush_has_one_exchange_and_one_sort(spark):
     plan = sort_for_storage(to_storage(records(events(spark, DATA), [("event_type", "string"), ("value", "f64")]), KEYS))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 1 and plan.count("Sort [") == 1
     assert flagship(spark, DATA).count() > 0
+
+
+def test_the_round_trip_is_appended_by_several_tasks_in_order(spark, db, monkeypatch):
+    from tidelake import queries
+    from tidelake.engine import Engine
+
+    ranges, append = [], Engine.append
+
+    def watched(self, name, df, now_us=None):
+        ranges.extend(df.rdd.mapPartitions(lambda rows: [len(list(rows))]).collect())
+        return append(self, name, df, now_us)
+
+    monkeypatch.setattr(queries, "_RANGE_ROWS", 100, raising=False)
+    monkeypatch.setattr(Engine, "append", watched)
+    got = QUERIES["flush_roundtrip"](spark, DATA).select("id", "ts_us", "value").collect()
+    assert plain(got) == plain(db.sql(f"select id, ts_us, value from ({ORACLE_SQL['flush_roundtrip']})").fetchall())
+    assert sum(ranges) == db.sql("select count(*) from events").fetchall()[0][0] and max(ranges) < sum(ranges) / 2
+
+
+def test_a_typed_append_lands_without_a_sort(spark, tmp_path):
+    from tidelake.config import Config
+    from tidelake.engine import Engine
+    from tidelake.model import SeriesSpec
+
+    config = Config(data_dir=str(tmp_path), series=[SeriesSpec("a=b c")])
+    config.flush.on_startup = False
+    with Engine(spark, config) as engine:
+        store = spark._jsparkSession.sharedState().statusStore()
+        before = store.executionsCount()
+        assert engine.append("a=b c", spark.range(10).selectExpr("id + 1700000000000000 ts_us", "cast(id as string) id"), 1_700_000_100_000_000) == 10
+        texts = [store.executionsList(i, 1).head().physicalPlanDescription() for i in range(before, store.executionsCount())]
+        writes = [t for t in texts if "WriteFiles" in t]
+        assert len(writes) == 1 and "Sort" not in writes[0]
+        assert engine.flush().rows == 10 and engine.table("a=b c").count() == 10

@@ -134,7 +134,7 @@ class Engine:
         epoch, spec = self.manifest.current(name), self.series(name)
         window, limit = self.accept_window(now_us), self.config.limits.max_record_bytes
         reason = reject_reason({(name, epoch.epoch): spec.keys}, window, limit)
-        seen, segment = self._land(records, reason, keys=spec.keys)
+        seen, segment = self._land(records, reason, keys=spec.keys, only=(name, epoch.epoch))
         if seen["rejected"]:
             self.files.delete("wal", segment)
             if seen["bad_ts"]:
@@ -196,8 +196,8 @@ class Engine:
         self.counts.rejected_frames += found["bad"]
         return RawIngest(done.accepted, done.rejected + found["bad"], found["lost"])
 
-    def _land(self, records: DataFrame, reason: Column, source: str | None = None, keys: tuple = ()) -> tuple[dict, str]:
-        """Writes what has no ``reason`` to a directory that does not count yet, and what was seen meanwhile."""
+    def _land(self, records: DataFrame, reason: Column, source: str | None = None, keys: tuple = (), only: tuple[str, int] | None = None) -> tuple[dict, str]:
+        """Writes what has no ``reason`` to a directory that does not count yet, and what was seen meanwhile. ``only`` is the series and epoch of all records, if they have one."""
         seen, segment = Observation(), f"_tmp-{uuid.uuid4().hex}"
         judged = records.select(*_names(RECORD)).withColumn("_reason", reason)
         bad = lambda r: F.count(F.when(F.col("_reason") == r, 1)).alias(f"bad_{r}")
@@ -207,6 +207,8 @@ class Engine:
             F.max(F.when(F.col("_reason") == "ts", F.col("ts_us"))).alias("ts"), F.max(F.when(F.col("_reason") == "size", encoded_size())).alias("size"),
         )
         kept = judged.filter("_reason is null").drop("_reason").withColumn("off", F.monotonically_increasing_id())
+        if only:  # literals right below the write: no task sorts its rows by them
+            kept = kept.withColumns({"series": F.lit(only[0]), "epoch": F.lit(only[1])})
         kept.write.partitionBy("series", "epoch").parquet(self.files.path("wal", segment))
         if source:
             self.files.write(json.dumps(source), "wal", segment, "_source.json")

@@ -353,9 +353,15 @@ def render_text(spark, sf_dir):
     return e.select("event_id", text_of("ts", "ts").alias("ts"), text_of("event_id", "i64").alias("i"), text_of(F.col("value") / 4, "f64").alias("f"), text_of(F.col("event_id") % 2 == 0, "bool").alias("b"))
 
 
+#: Rows that one task sorts before they are appended.
+_RANGE_ROWS = 250_000
+
+
 @_query(_first("ts_us, id").replace("event_id, ts_us, id, value", "ts_us, id, value"))
 def flush_roundtrip(spark, sf_dir):
-    e = collisions(events(spark, sf_dir)).repartition(1).sortWithinPartitions("event_id")
+    e = collisions(events(spark, sf_dir))
+    # Rows arrive by event id: ranges of ids, each small enough for one task to sort, in the order of the tasks.
+    e = e.repartitionByRange(max(1, -(-e.count() // _RANGE_ROWS)), "event_id").sortWithinPartitions("event_id")
     with _engine(spark, ("events", KEYS)) as engine:
         engine.append("events", e.select("ts_us", F.col("event_type").alias("id"), "event_type", "value"), NOW + 10**13)
         engine.flush()
