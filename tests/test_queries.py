@@ -85,3 +85,26 @@ def test_a_typed_append_lands_without_a_sort(spark, tmp_path):
         writes = [t for t in texts if "WriteFiles" in t]
         assert len(writes) == 1 and "Sort" not in writes[0]
         assert engine.flush().rows == 10 and engine.table("a=b c").count() == 10
+
+
+def test_a_stream_of_several_files_keeps_the_order_of_its_records(spark, db, tmp_path, monkeypatch):
+    from tidelake import streaming
+
+    files, texts, ingest, conf = [], [], streaming.ingest_stream, "spark.sql.maxConcurrentOutputFileWriters"
+    plans = spark._jsparkSession.sharedState().statusStore()
+    before, kept = plans.executionsCount(), spark.conf.get(conf)
+
+    def watched(engine, *args, **more):
+        files.extend(p for p in engine.files.walk("inbox") if p.endswith(".parquet"))
+        started = ingest(engine, *args, **more)
+        started.awaitTermination()
+        texts.extend(plans.executionsList(i, 1).head().physicalPlanDescription() for i in range(before, plans.executionsCount()))
+        return started
+
+    spark.read.parquet(f"{DATA}/events.parquet").repartition(3, "user_id").write.parquet(f"{tmp_path}/events.parquet")
+    monkeypatch.setattr(streaming, "ingest_stream", watched)
+    got = QUERIES["streaming_flush"](spark, str(tmp_path)).select("id", "ts_us", "value").collect()
+    assert plain(got) == plain(db.sql(f"select id, ts_us, value from ({ORACLE_SQL['streaming_flush']})").fetchall())
+    assert len(files) == 3 and spark.conf.get(conf) == kept
+    landed = [t for t in texts if "/wal/_tmp" in t]
+    assert len(landed) == 1 and "Sort" not in landed[0]

@@ -152,13 +152,16 @@ class Engine:
 
     append_batch = append
 
-    def append_raw(self, records: DataFrame, now_us: int | None = None, source: str | None = None) -> RawIngest:
+    def append_raw(self, records: DataFrame, now_us: int | None = None, source: str | None = None, order: str | None = None) -> RawIngest:
         """Lands the records (columns of model.RECORD) that can be taken and counts the others.
 
         A known series with its current or an earlier epoch and a size within the
         limit are enough: keys are checked at the flush. ``source`` names the
         batch, as "name-number"; one that has landed before, or has a smaller
-        number than one of its name that has, is not landed again.
+        number than one of its name that has, is not landed again. ``order``
+        names a column of whole numbers, no two alike and none null, by which
+        the records of this batch arrived; without it that is the order of the
+        rows.
         """
         if source and source in self.sources:
             return RawIngest(0, 0)
@@ -168,7 +171,7 @@ class Engine:
             known = known | ((F.col("series") == s.name) & (F.col("epoch") <= self.manifest.current(s.name).epoch))
         too_large = F.coalesce(encoded_size() > self.config.limits.max_record_bytes, F.lit(False))
         reason = F.when(too_large, "size").when(~F.coalesce(F.col("ts_us").between(window.low, LAST_US if window.high is None else window.high), F.lit(False)), "ts").when(~F.coalesce(known, F.lit(False)), "schema")
-        seen, segment = self._land(records, reason, source)
+        seen, segment = self._land(records, reason, source, order=order)
         self._publish(segment, seen["accepted"], source)
         self.counts.rejected_ts += seen["bad_ts"]
         self.counts.rejected_size += seen["bad_size"]
@@ -196,17 +199,19 @@ class Engine:
         self.counts.rejected_frames += found["bad"]
         return RawIngest(done.accepted, done.rejected + found["bad"], found["lost"])
 
-    def _land(self, records: DataFrame, reason: Column, source: str | None = None, keys: tuple = (), only: tuple[str, int] | None = None) -> tuple[dict, str]:
+    def _land(self, records: DataFrame, reason: Column, source: str | None = None, keys: tuple = (), only: tuple[str, int] | None = None, order: str | None = None) -> tuple[dict, str]:
         """Writes what has no ``reason`` to a directory that does not count yet, and what was seen meanwhile. ``only`` is the series and epoch of all records, if they have one."""
         seen, segment = Observation(), f"_tmp-{uuid.uuid4().hex}"
-        judged = records.select(*_names(RECORD)).withColumn("_reason", reason)
+        judged = records.select(*_names(RECORD), *([F.col(order).cast("bigint").alias("off")] if order else [])).withColumn("_reason", reason)
         bad = lambda r: F.count(F.when(F.col("_reason") == r, 1)).alias(f"bad_{r}")
         by_key = [F.count(F.when((F.col("_reason") == "type") & ~F.coalesce(key_fits(i, k), F.lit(False)), 1)).alias(f"bad_key_{i}") for i, k in enumerate(keys)]
         judged = judged.observe(
             seen, F.count(F.when(F.col("_reason").isNull(), 1)).alias("accepted"), F.count("_reason").alias("rejected"), *map(bad, ("ts", "size", "schema", "field")), *by_key,
             F.max(F.when(F.col("_reason") == "ts", F.col("ts_us"))).alias("ts"), F.max(F.when(F.col("_reason") == "size", encoded_size())).alias("size"),
         )
-        kept = judged.filter("_reason is null").drop("_reason").withColumn("off", F.monotonically_increasing_id())
+        kept = judged.filter("_reason is null").drop("_reason")
+        if not order:
+            kept = kept.withColumn("off", F.monotonically_increasing_id())
         if only:  # literals right below the write: no task sorts its rows by them
             kept = kept.withColumns({"series": F.lit(only[0]), "epoch": F.lit(only[1])})
         kept.write.partitionBy("series", "epoch").parquet(self.files.path("wal", segment))

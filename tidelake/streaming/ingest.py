@@ -10,18 +10,22 @@ from pyspark.sql.streaming import StreamingQuery
 from ..engine import Engine
 
 
-def ingest_stream(engine: Engine, records: DataFrame, checkpoint: str, name: str = "ingest", interval: str | None = None, flush_each: bool = False, now_us: int | None = None) -> StreamingQuery:
+def ingest_stream(engine: Engine, records: DataFrame, checkpoint: str, name: str = "ingest", interval: str | None = None, flush_each: bool = False, now_us: int | None = None, order: str | None = None) -> StreamingQuery:
     """Lands a stream of records (columns of model.RECORD).
 
     A batch that Spark runs again after a crash is known by the query's id, which
     its checkpoint keeps, and its number, and lands once. ``interval`` is a processing time; without it all that is available is
     read and the query ends. Records of any age are taken while they are in the
     accept window: there is no watermark, and late ones go to their own hours.
+    A source that reads several files at once has no order of rows: ``order``
+    names a column that has it, as for append_raw().
     """
 
     def land(batch: DataFrame, number: int) -> None:
+        # A session of the stream alone. Landing keeps a file open for each series and epoch, so no task sorts its rows by them; beyond so many it does.
+        batch.sparkSession.conf.set("spark.sql.maxConcurrentOutputFileWriters", "16")
         query = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
-        engine.append_raw(batch, now_us, source=f"{name}.{query}-{number}")
+        engine.append_raw(batch, now_us, source=f"{name}.{query}-{number}", order=order)
         if flush_each or (engine.config.flush.interval_ms and engine.overdue()):
             engine.flush()
 
