@@ -381,6 +381,16 @@ def test_a_hot_hour_is_sorted_by_several_tasks(spark, tmp_path):
             assert file == sorted(file)
 
 
+def test_an_hour_of_many_bytes_is_sorted_by_several_tasks(spark, tmp_path):
+    with Engine(spark, config(tmp_path), bytes_per_task=20_000) as e:
+        e.append("trades", rows(spark, [(T13 + i, f"{i}", "A", i) for i in range(40)]).withColumn("data", F.repeat(F.lit("x"), F.lit(2000))), NOW)
+        e.append("trades", rows(spark, [(T13 + HOUR + i, f"{i}", "A", i) for i in range(40)]), NOW)
+        done = e.flush()
+        hours = [p.rsplit("/", 2)[1] for p in published(e)]
+        assert done.rows == 80 and sorted(map(hours.count, set(hours)))[0] == 1 and max(map(hours.count, set(hours))) > 1
+        assert e.table("trades").select("id", "ts").distinct().count() == 80
+
+
 def test_file_layout(spark, tmp_path):
     import pyarrow.parquet as pq
 

@@ -66,14 +66,14 @@ class FlushOutcome:
 class Engine:
     """Opens a data directory: lock, manifest, schemas, sweep, recovery, and a flush if one is overdue."""
 
-    def __init__(self, spark: SparkSession, config: Config, force_unlock: bool = False, rows_per_task: int = 20_000_000):
+    def __init__(self, spark: SparkSession, config: Config, force_unlock: bool = False, rows_per_task: int = 20_000_000, bytes_per_task: int = 64 << 20):
         spark.conf.set("spark.sql.session.timeZone", "UTC")
         config.validate()
         self.spark, self.config, self.counts = spark, config, Stats()
         self.files = Files(spark, config.data_dir)
         self.files.mkdirs("")
         self.lock = store.Lock(self.files, force_unlock)
-        self.rows_per_task = rows_per_task  # an hour of more is sorted by several tasks
+        self.rows_per_task, self.bytes_per_task = rows_per_task, bytes_per_task  # an hour of more is sorted by several tasks
         self.single, self.landing, self.timer = threading.RLock(), threading.Lock(), None
         try:
             store.require_manifest(self.files)
@@ -209,7 +209,7 @@ class Engine:
             seen, F.count(F.when(F.col("_reason").isNull(), 1)).alias("accepted"), F.count("_reason").alias("rejected"), *map(bad, ("ts", "size", "schema", "field")), *by_key,
             F.max(F.when(F.col("_reason") == "ts", F.col("ts_us"))).alias("ts"), F.max(F.when(F.col("_reason") == "size", encoded_size())).alias("size"),
         )
-        kept = judged.filter("_reason is null").drop("_reason")
+        kept = judged.filter("_reason is null").drop("_reason").withColumn("size", encoded_size(nulls=True))
         if not order:
             kept = kept.withColumn("off", F.monotonically_increasing_id())
         if only:  # literals right below the write: no task sorts its rows by them
@@ -266,9 +266,10 @@ class Engine:
         return found
 
     def landed(self, segments: Iterable[int]) -> DataFrame:
-        """Landed records of some segments; ``seg, series, epoch`` prune directories."""
+        """Landed records of some segments; ``seg, series, epoch`` prune directories. A ``size`` that is not known is the largest there may be."""
         paths = [self.files.path("wal", store.segment_name(s)) for s in segments]
-        return self.spark.read.schema(LANDED).option("basePath", self.files.path("wal")).parquet(*paths)
+        found = self.spark.read.schema(LANDED).option("basePath", self.files.path("wal")).parquet(*paths)
+        return found.withColumn("size", F.coalesce("size", F.lit(self.config.limits.max_record_bytes).cast("bigint")))
 
     def _flush(self) -> FlushOutcome:
         segments = self._readable()
@@ -278,15 +279,15 @@ class Engine:
         staged, touched, total = [], set(), {"rows": 0, "deduplicated": 0, "rejected": 0}
         landed, schemas = self.landed(segments), self.manifest.schemas()
         reason = reject_reason(schemas, strict=False)
-        rejects = landed.withColumn("_reason", reason).filter("_reason is not null")
-        for group in landed_groups(landed.withColumn("_reason", reason), self.rows_per_task):
+        rejects = landed.withColumn("_reason", reason).filter("_reason is not null").drop("size")
+        for group in landed_groups(landed.withColumn("_reason", reason), self.rows_per_task, self.bytes_per_task):
             series, epoch = group["series"], group["epoch"]
             keys = schemas.get((series, epoch))
             touched |= {series} & set(self.manifest.series)
             written = 0
             if keys is not None and group["bad"] < group["n"]:
                 good = landed.filter((F.col("series") == series) & (F.col("epoch") == epoch)).filter(reject_reason({(series, epoch): keys}, strict=False).isNull())
-                written = self._write(series, good, keys, group["hot"], staged, (first, last, epoch))
+                written = self._write(series, good, keys, group["tasks"], group["hot"], staged, (first, last, epoch))
             counts = flush_counts(group["n"], group["bad"], written)
             total = {k: total[k] + counts[k] for k in total}
         if not total["rows"] and not total["rejected"]:
@@ -309,11 +310,11 @@ class Engine:
                 log.warning("the view of %s was not written: %s", series, e)
         return FlushOutcome(True, **total, files=files, first_segment=first, last_segment=last)
 
-    def _write(self, series: str, good: DataFrame, keys: tuple, hot: dict[str, int], staged: list[str], span: tuple[int, int, int]) -> int:
+    def _write(self, series: str, good: DataFrame, keys: tuple, tasks: int, hot: dict[str, int], staged: list[str], span: tuple[int, int, int]) -> int:
         """Writes one series and epoch by hour and stages it; the number of rows."""
         wrote = Observation()
-        # A fixed number of tasks: opening a file an hour is most of a small flush, and one task would do it all.
-        tasks = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        # At least a fixed number of tasks: opening a file an hour is most of a small flush, and one task would do it all.
+        tasks = max(tasks, int(self.spark.conf.get("spark.sql.shuffle.partitions")))
         rows = sort_for_storage(to_storage(good, keys), tasks, hot).drop("seg", "off").observe(wrote, F.count("*").alias("n"))
         # Spark keeps the schema of a file, with what is said of its columns, in the footer.
         rows = rows.withMetadata("ts", {"series": series, "epoch": span[2]})

@@ -65,15 +65,17 @@ def text_of(column: str | Column, type_: str) -> Column:
     return F.coalesce(named, plain, F.when(~shortest.contains("E"), shortest), F.when(F.abs(c) >= 1, large), F.when(F.abs(c) < 1, small), shortest)
 
 
-def encoded_size() -> Column:
+def encoded_size(nulls: bool = False) -> Column:
     """Bytes that a record takes on the wire; needs ``series, id, keys, extra, data``.
 
     Eight for the frame, then time, epoch, series, id, keys by their types,
     pairs of ``extra`` as given, and data. ``extra`` is counted once canonical.
+    Null if one of them is null, or with ``nulls`` the size of the others.
     """
-    length = lambda c: F.octet_length(c).cast("long")
+    known = (lambda c: F.coalesce(c, F.lit(0).cast("long"))) if nulls else (lambda c: c)
+    length = lambda c: known(F.octet_length(c).cast("long"))
     each = F.transform("keys", lambda v: F.when(v["tag"] == 0, 1).when(v["tag"] == 1, 2).when(v["tag"].isin(2, 3), 9).otherwise(5 + length(v["s"])).cast("long"))
-    keys = F.aggregate(each, F.lit(0).cast("long"), lambda a, x: a + x)
+    keys = known(F.aggregate(each, F.lit(0).cast("long"), lambda a, x: a + x))
     pairs = F.transform(F.map_entries(canonical_extra("extra")), lambda e: 4 + length(e["key"]) + length(e["value"]))
-    extra = F.aggregate(pairs, F.lit(0).cast("long"), lambda a, x: a + x)
+    extra = known(F.aggregate(pairs, F.lit(0).cast("long"), lambda a, x: a + x))
     return F.lit(8 + 8 + 4 + 2 + 2 + 2 + 4).cast("long") + length("series") + length("id") + keys + extra + length("data")

@@ -16,7 +16,8 @@ RESERVED = ("ts", "id", "extra", "data")
 VALUE = "struct<tag:int,b:boolean,i:bigint,f:double,s:string>"
 #: Records as they arrive. ``seg`` and ``off`` are the order of arrival.
 RECORD = f"series string, epoch int, ts_us bigint, id string, keys array<{VALUE}>, extra array<struct<k:string,v:string>>, data string"
-LANDED = f"{RECORD}, seg bigint, off bigint"
+#: ``size`` is what a record takes on the wire; segments that landed before there was one have nulls.
+LANDED = f"{RECORD}, seg bigint, off bigint, size bigint"
 
 
 @dataclass(frozen=True)

@@ -27,12 +27,14 @@ def to_storage(landed: DataFrame, keys: tuple[KeyDef, ...] | list[KeyDef]) -> Da
     )
 
 
-def landed_groups(judged: DataFrame, rows_per_task: int) -> list[dict]:
-    """Per series and epoch of landed records with their ``_reason``: ``n``, how many are ``bad``, and the ``hot`` hours of more than ``rows_per_task`` records with the tasks they need. One pass, and a row for each."""
-    hours = judged.groupBy("series", "epoch", hour("ts_us").alias("hour")).agg(F.count("*").alias("n"), F.count("_reason").alias("bad"))
-    hot = F.collect_list(F.when((F.col("n") > rows_per_task) & F.col("hour").isNotNull(), F.struct("hour", "n")))
-    rows = hours.groupBy("series", "epoch").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"), hot.alias("hot")).filter("series is not null").orderBy("series", "epoch").collect()
-    return [r.asDict() | {"hot": {h["hour"]: -(-h["n"] // rows_per_task) for h in r["hot"]}} for r in rows]
+def landed_groups(judged: DataFrame, rows_per_task: int, bytes_per_task: int) -> list[dict]:
+    """Per series and epoch of landed records with their ``_reason`` and ``size``: ``n``, how many are ``bad``, the ``tasks`` that all of them need, and the ``hot`` hours of more records or bytes than one task should sort with the tasks they need. One pass, and a row for each."""
+    hours = judged.groupBy("series", "epoch", hour("ts_us").alias("hour")).agg(F.count("*").alias("n"), F.count("_reason").alias("bad"), F.sum("size").alias("bytes"))
+    share = hours.withColumn("share", F.greatest(F.col("n") / rows_per_task, F.col("bytes") / bytes_per_task)).withColumn("tasks", F.ceil("share"))
+    hot = F.collect_list(F.when((F.col("tasks") > 1) & F.col("hour").isNotNull(), F.struct("hour", "tasks")))
+    need = F.ceil(F.sum(F.when(F.col("tasks") > 1, F.col("tasks")).otherwise(F.col("share"))))
+    rows = share.groupBy("series", "epoch").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"), need.alias("tasks"), hot.alias("hot")).filter("series is not null").orderBy("series", "epoch").collect()
+    return [r.asDict() | {"hot": {h["hour"]: h["tasks"] for h in r["hot"]}} for r in rows]
 
 
 def sort_for_storage(rows: DataFrame, partitions: int | None = None, hot: dict[str, int] | None = None) -> DataFrame:
